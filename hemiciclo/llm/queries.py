@@ -4,18 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hemiciclo.llm.canonical import canonical
 from hemiciclo.llm.encoding import encode_corpus
 from hemiciclo.llm.leaks import leaked
 from hemiciclo.llm.sameness import look_alikes
+from hemiciclo.llm.spans import shared_spans
 from hemiciclo.llm.tables import one_per_key, whole
 from hemiciclo.llm.topn import top_n
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("proposal_id", "doc_id", "proposal_text")
+    return shared_spans(one_per_key(whole(spark, sf_dir, "propuestas_supervised", *columns), *columns), *columns)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["party", "dimension", "stance"]
     return top_n(whole(spark, sf_dir, "hits", *keys, "proposal_id", "signal"), keys, "proposal_id", "signal", 3).select(*keys, "proposal_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = one_per_key(whole(spark, sf_dir, "propuestas_supervised", "proposal_id", "party"), "proposal_id", "party")
+    return canonical(rows, "proposal_id", "party", whole(spark, sf_dir, "party_reference", "party_id", "party_name", "party_code"), "party_id", "party_name", "party_code")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alikes(one_per_key(whole(spark, sf_dir, "propuestas", "proposal_id", "proposal_text"), "proposal_id", "proposal_text"), "proposal_id", "proposal_text")
 
@@ -29,7 +41,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p3_found, p6_found, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p6_found, p7_ids, p8_found)}
 
 
 def oracle_sql():
