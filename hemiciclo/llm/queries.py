@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hemiciclo.llm.canonical import canonical
 from hemiciclo.llm.encoding import encode_corpus
+from hemiciclo.llm.forest import nearest
 from hemiciclo.llm.leaks import leaked
 from hemiciclo.llm.sameness import look_alikes
 from hemiciclo.llm.spans import shared_spans
@@ -28,6 +30,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical(rows, "proposal_id", "party", whole(spark, sf_dir, "party_reference", "party_id", "party_name", "party_code"), "party_id", "party_name", "party_code")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = one_per_key(whole(spark, sf_dir, "proposal_vectors", "proposal_id", "embedding").where("embedding IS NOT NULL"), "proposal_id", "embedding")
+    pairs = nearest(vectors, "proposal_id", "embedding", k=5, least_cosine=0.90)
+    return pairs.select(F.least("proposal_id", "neighbour").alias("proposal_id_a"), F.greatest("proposal_id", "neighbour").alias("proposal_id_b")).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alikes(one_per_key(whole(spark, sf_dir, "propuestas", "proposal_id", "proposal_text"), "proposal_id", "proposal_text"), "proposal_id", "proposal_text")
 
@@ -41,7 +49,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p6_found, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_found)}
 
 
 def oracle_sql():
