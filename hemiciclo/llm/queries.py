@@ -9,6 +9,7 @@ from hemiciclo.llm.canonical import canonical
 from hemiciclo.llm.encoding import encode_corpus
 from hemiciclo.llm.forest import nearest
 from hemiciclo.llm.leaks import leaked
+from hemiciclo.llm.residue import with_residue
 from hemiciclo.llm.sameness import look_alikes
 from hemiciclo.llm.spans import shared_spans
 from hemiciclo.llm.tables import one_per_key, whole
@@ -48,8 +49,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(whole(spark, sf_dir, "documents", "doc_id", "text"), whole(spark, sf_dir, "eval_items", "item_id", "text"), "doc_id", "text", "item_id", "text")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_residue(whole(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def queries():
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found)}
 
 
 def oracle_sql():
