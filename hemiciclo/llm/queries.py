@@ -9,6 +9,7 @@ from hemiciclo.llm.canonical import canonical
 from hemiciclo.llm.encoding import encode_corpus
 from hemiciclo.llm.forest import nearest
 from hemiciclo.llm.leaks import leaked
+from hemiciclo.llm.pages import noise
 from hemiciclo.llm.residue import with_residue
 from hemiciclo.llm.sameness import look_alikes
 from hemiciclo.llm.spans import shared_spans
@@ -16,6 +17,12 @@ from hemiciclo.llm.tables import one_per_key, whole
 from hemiciclo.llm.topn import top_n
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["proposal_text", "source_snippet"]
+    rows = one_per_key(whole(spark, sf_dir, "propuestas", "proposal_id", "doc_id", *fields), "proposal_id", "doc_id", *fields)
+    return noise(rows, "proposal_id", "doc_id", fields, ["source_snippet"])[0]
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("proposal_id", "doc_id", "proposal_text")
     return shared_spans(one_per_key(whole(spark, sf_dir, "propuestas_supervised", *columns), *columns), *columns)
@@ -54,7 +61,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found)}
 
 
 def oracle_sql():
