@@ -155,3 +155,11 @@ def sample_per_group(spark, d):
     """Six rows of each axis, the same ones at every run: those of smallest hash. The sample is the feature."""
     rows = table(spark, d, "propuestas").select("axis", "proposal_id").distinct().withColumn("h", F.xxhash64("proposal_id", F.lit(42)))
     return rows.withColumn("n", F.row_number().over(W.partitionBy("axis").orderBy("h", "proposal_id"))).where("n <= 6").select("axis", "proposal_id")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def window_counts(spark, d):
+    """The batch form of the streaming count; the stream itself is tested in tests/."""
+    from hemiciclo.streaming.flows import windowed_counts
+
+    return windowed_counts(table(spark, d, "events"), "ts", "event_type", "value")
