@@ -63,7 +63,7 @@ def unstable() -> re.Pattern:
         c = chr(cp)
         if unicodedata.category(c) == "Cn":
             continue
-        if plain(c) != c or unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c) or 0x1160 <= cp < 0x1200:
+        if unicodedata.normalize("NFC", "".join(map(plain, unicodedata.normalize("NFD", c)))) != c or unicodedata.combining(c) or 0x1160 <= cp < 0x1200:
             if spans and spans[-1][1] == cp - 1:
                 spans[-1][1] = cp
             else:
