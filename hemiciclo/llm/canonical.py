@@ -201,6 +201,8 @@ def matched(values: DataFrame, value: str, reference: DataFrame, key: str, name:
     entries = reference.select(F.col(key).alias("key"), F.col(name).alias("name"), (F.col(code) if code else F.lit(None).cast("string")).alias("code")).where("key IS NOT NULL AND name IS NOT NULL")
     blocks = max(1, -(-entries.count() // block))
     distinct = values.select(F.col(value).cast("string").alias(value)).where(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")) != "").distinct()
+    # few bytes, much work: so many tasks whatever their size
+    distinct = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     schema = StructType([StructField(value, StringType()), StructField(key, entries.schema["key"].dataType), StructField("distance", IntegerType())])
     out: DataFrame | None = None
     for b in range(blocks):
