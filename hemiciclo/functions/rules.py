@@ -101,3 +101,33 @@ def amounts(text: Column) -> Column:
 
 def mentions(text_folded: Column, keys: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text_folded, F.lit(k)) for k in keys])
+
+
+def recoded(value: Column, labels: dict[str, str]) -> Column:
+    """The label of a value, or the value itself."""
+    if not labels:
+        return value
+    table = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, value), value)
+
+
+def reclassified(text: Column, before: list[tuple[str, str]], given: Column, keep: list[str], after: list[tuple[str, str]], none: str = "otros") -> Column:
+    """An ordered choice: the first pattern of `before`, then the given class if it is one to keep, then `after`."""
+    t = F.coalesce(text, F.lit(""))
+    steps = [(t.rlike(p), F.lit(name)) for name, p in before] + [(F.coalesce(given.isin(keep), F.lit(False)), given)] + [(t.rlike(p), F.lit(name)) for name, p in after]
+    chain = F.when(*steps[0])
+    for condition, name in steps[1:]:
+        chain = chain.when(condition, name)
+    return chain.otherwise(none)
+
+
+def first_plausible(numbers_: Column, text: Column, low: Column, high: Column) -> Column:
+    """The first number, of the joined numbers and then of the text, that lies in [low, high]; null if none does."""
+    found = F.array_distinct(F.concat(F.coalesce(F.split(numbers_, ";"), F.array().cast("array<string>")), F.coalesce(F.regexp_extract_all(text, F.lit(f"({lex.NUMBER})"), 1), F.array().cast("array<string>"))))
+    values = F.filter(F.transform(found, spanish_number), lambda v: v.isNotNull() & (v >= low) & (v <= high))
+    return F.get(values, F.lit(0))
+
+
+def milestone(first_year: Column, first: Column, last: Column, year: int, last_year: int = 2031) -> Column:
+    """The value at `year` on the line from the first value to the last."""
+    return first + (last - first) * (F.lit(year) - first_year) / F.greatest(F.lit(1), F.lit(last_year) - first_year)

@@ -89,6 +89,25 @@ def readiness(df: DataFrame, key: str, target: str, features: list[str], trees:
     return predicted, reduce(DataFrame.unionByName, curves)
 
 
+def importances(df: DataFrame, key: str, target: str, features: list[str], trees: int = 40) -> list[tuple[str, float]]:
+    """Features and their part of the forest's gain, in percent, highest first."""
+    rows = df.select(F.col(target).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in features)).dropna()
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=6, seed=7)])
+    gains = pipe.fit(rows).stages[-1].featureImportances.toArray()
+    return sorted(zip(features, (100 * gains).tolist()), key=lambda x: (-x[1], x[0]))
+
+
+def plane(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, x, y and method: the first two directions of an embedding as a map."""
+    return vectors.select(key, F.get(vector, F.lit(0)).alias("x"), F.get(vector, F.lit(1)).alias("y"), F.lit("svd_first2").alias("method"))
+
+
+def label_source(gold: DataFrame, silver: DataFrame, label: str, least: int = 60) -> tuple[DataFrame, str]:
+    """The gold labels if there are enough of them, else the rule labels; and which they are."""
+    enough = gold.where(F.col(label).isNotNull()).limit(least).count() >= least
+    return (gold, "gold") if enough else (silver, "silver")
+
+
 def errors(predicted: DataFrame) -> dict[str, float]:
     """RMSE, MAE and R² of held-out rows."""
     held = predicted.where("NOT is_train")

@@ -34,3 +34,20 @@ def top(df: DataFrame, key: str, query: str, corpus: str, score: str, quant: str
     """The n best rows; ties by score, flags, then the key."""
     found = scored(df, corpus, query, score, quant, horizon).where(F.col("search_score") > 0)
     return found.orderBy(F.desc("search_score"), F.desc_nulls_last(score), F.desc_nulls_last(quant), F.desc_nulls_last(horizon), key).limit(n)
+
+
+def page(df: DataFrame, key: str, query: str, corpus: str, score: str, quant: str, horizon: str, number: int = 1, size: int = 24, least: float = 1.7, where: dict[str, str] | None = None) -> DataFrame:
+    """One page of the rows above `least`, words counted as often as asked, filtered by equal columns.
+
+    Pages before it are cut off by the order itself, so number times size rows are kept, not all.
+    """
+    for column, value in (where or {}).items():
+        df = df.where(F.col(column) == value)
+    found = scored(df, corpus, query, score, quant, horizon, distinct=False).where(F.col("search_score") > least)
+    return found.orderBy(F.desc("search_score"), F.desc_nulls_last(score), key).offset((number - 1) * size).limit(size)
+
+
+def answer(hits: DataFrame, party: str, axis: str, parties: int = 3, axes: int = 2) -> DataFrame:
+    """kind, name and hits_n: the parties and axes that most hits of a bounded list have."""
+    top_of = lambda c, n: hits.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("name")).agg(F.count("*").alias("hits_n")).orderBy(F.desc("hits_n"), "name").limit(n).select(F.lit(c).alias("kind"), "name", "hits_n")
+    return top_of(party, parties).unionByName(top_of(axis, axes))

@@ -62,3 +62,43 @@ def write_rows(df: DataFrame, path: str, kind: str = "parquet", once: bool = Fal
     """Parquet, JSON (nulls kept) or CSV; `once` leaves what is there."""
     w = df.write.mode("ignore" if once else "overwrite")
     {"parquet": lambda: w.parquet(path), "json": lambda: w.option("ignoreNullFields", "false").json(path), "csv": lambda: w.option("header", True).csv(path), "text": lambda: w.text(path)}[kind]()
+
+
+def extracted_pages(files: DataFrame, extractor, key: str = "path", content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Pages (path, page_no, text) and errors (path, error) of binary files.
+
+    extractor takes bytes and gives a list of page texts; it is shipped to the executors, since no
+    reader of page formats is part of the engine. A file that fails, has no pages or only blank
+    ones gives one error row, and the others go on. Files are read once for either result.
+    """
+    import pandas as pd
+
+    def run(batches):
+        for table in batches:
+            rows = []
+            for path, data in zip(table[key], table[content]):
+                try:
+                    pages = list(extractor(bytes(data)))
+                    problem = "no pages" if not pages else "no text" if not any((p or "").strip() for p in pages) else None
+                except Exception as e:  # noqa: BLE001 - any failure of a file is a row of its own
+                    pages, problem = [], f"{type(e).__name__}: {e}"
+                rows += [(path, None, None, problem)] if problem else [(path, i, p, None) for i, p in enumerate(pages, 1)]
+            yield pd.DataFrame(rows, columns=[key, "page_no", "text", "error"]).astype({"page_no": "Int32"})
+
+    both = files.select(key, content).mapInPandas(run, f"{key} string, page_no int, text string, error string")
+    return both.where("error IS NULL").drop("error"), both.where("error IS NOT NULL").select(key, "error")
+
+
+def built_baseline(spec: DataFrame, snapshots: DataFrame, metadata: DataFrame, code: str, digits: int = 6) -> DataFrame:
+    """The specified series with their snapshot and metadata; a series without either keeps nulls."""
+    values = snapshots.withColumn("value", F.round("value", digits))
+    return spec.join(values, code, "left").join(metadata.dropDuplicates([code]), code, "left")
+
+
+def replaced(base: DataFrame, fresh: DataFrame, keys: list[str], stale) -> DataFrame:
+    """base without its stale rows, with the fresh ones upserted: the same at every repetition."""
+    return upserted(keys, base.where(~F.coalesce(stale, F.lit(False))), fresh)
+
+
+def missing_values(df: DataFrame, key: str, value: str) -> DataFrame:
+    return df.where(F.col(value).isNull()).select(key)

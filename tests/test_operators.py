@@ -125,3 +125,26 @@ def test_models(spark):
     assert models.errors(predicted)["r2"] > 0.8
     means = {(x["feature"], x["value"]): x["mean"] for x in curves.collect()}
     assert means[("f", 1.0)] - means[("f", 0.0)] > 5
+
+
+def test_choices_and_numbers(spark):
+    df = spark.createDataFrame([("metro y salud", "otro", None, 5.0, 20.0), ("nada", "social", "1;7", 5.0, 20.0), (None, None, "3", 5.0, 20.0), ("agua 12", "x", "3", 5.0, 20.0)], "t string, g string, n string, a double, z double")
+    got = df.select(R.reclassified(F.col("t"), [("transporte", "metro|tren")], F.col("g"), ["social"], [("ambiente", "agua")]).alias("c"), R.first_plausible(F.col("n"), F.col("t"), F.col("a"), F.col("z")).alias("v"), R.recoded(F.col("g"), {"social": "S"}).alias("r")).collect()
+    assert [tuple(x) for x in got] == [("transporte", None, "otro"), ("social", 7.0, "S"), ("otros", None, None), ("ambiente", 12.0, "x")]
+    line = spark.createDataFrame([(2024, 10.0, 3.0)], "y int, b double, t double").select(*(R.milestone(F.col("y"), F.col("b"), F.col("t"), y) for y in (2027, 2029, 2031))).first()
+    assert tuple(line) == (7.0, 5.0, 3.0)
+
+
+def test_pages_of_search(spark):
+    df = spark.createDataFrame([(i, "agua rural" if i % 2 else "agua", float(i), False, False, "p" if i < 30 else "q", "a") for i in range(60)], "id int, corpus string, s double, q boolean, h boolean, party string, axis string")
+    second = search.page(df, "id", "agua rural", "corpus", "s", "q", "h", 2, 10, where={"party": "p"})
+    assert [r["id"] for r in second.collect()] == [9, 7, 5, 3, 1, 28, 26, 24, 22, 20]
+    got = [tuple(r) for r in search.answer(search.top(df, "id", "agua rural", "corpus", "s", "q", "h", 8), "party", "axis").collect()]
+    assert got == [("party", "q", 8), ("axis", "a", 8)]
+
+
+def test_model_helpers(spark):
+    df = spark.createDataFrame([(f"k{i}", float(i % 2), float(i % 7), float(10 * (i % 2)), [1.0, 2.0, 3.0], "a") for i in range(100)], "k string, f double, g double, y double, v array<double>, l string")
+    assert models.importances(df, "k", "y", ["f", "g"], 10)[0][0] == "f"
+    assert tuple(models.plane(df, "k", "v").first())[1:] == (1.0, 2.0, "svd_first2")
+    assert models.label_source(df, df.limit(1), "l", 60)[1] == "gold" and models.label_source(df.limit(3), df, "l", 60)[1] == "silver"

@@ -62,3 +62,28 @@ def test_streams(spark, tmp_path):
     assert batch.count() == 2
     done = [(r["kind"], r["n"], r["total"]) for r in spark.read.parquet(str(tmp_path / "w")).collect()]
     assert ("a", 2, 3.0) in done
+
+
+def test_pages_and_errors(spark):
+    def extractor(data):
+        if data == b"bad":
+            raise ValueError("broken file")
+        return data.decode().split("\f") if data else []
+
+    files = spark.createDataFrame([("a", bytearray(b"uno\fdos")), ("b", bytearray(b"bad")), ("c", bytearray(b"")), ("d", bytearray(b" "))], "path string, content binary")
+    pages, errors = B.extracted_pages(files, extractor)
+    assert sorted(tuple(r) for r in pages.collect()) == [("a", 1, "uno"), ("a", 2, "dos")]
+    assert sorted(tuple(r) for r in errors.collect()) == [("b", "ValueError: broken file"), ("c", "no pages"), ("d", "no text")]
+
+
+def test_baseline(spark):
+    from pyspark.sql import functions as F
+
+    spec = spark.createDataFrame([("A",), ("B",)], "code string")
+    built = B.built_baseline(spec, spark.createDataFrame([("A", 1.23456789)], "code string, value double"), spark.createDataFrame([("A", "x"), ("A", "x")], "code string, unit string"), "code")
+    assert sorted(tuple(r) for r in built.collect()) == [("A", 1.234568, "x"), ("B", None, None)]
+    assert [r[0] for r in B.missing_values(built, "code", "value").collect()] == ["B"]
+    fresh = spark.createDataFrame([("A", 2.0)], "code string, value double")
+    once = B.replaced(built, fresh, ["code"], F.col("unit") == "x")
+    twice = B.replaced(once, fresh, ["code"], F.col("unit") == "x")
+    assert sorted(tuple(r) for r in once.collect()) == sorted(tuple(r) for r in twice.collect()) == [("A", 2.0, None), ("B", None, None)]
