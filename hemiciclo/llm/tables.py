@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hemiciclo.session import checkpointed, table
 
-__all__ = ["bounded_sample", "buffered", "checkpointed", "one_per_key", "table", "whole"]
+__all__ = ["bounded_sample", "buffered", "checkpointed", "one_per_key", "sliced", "table", "whole"]
 
 
 def one_per_key(df: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -41,6 +41,13 @@ def buffered(batches: Iterable[pa.RecordBatch], rows: int, text_bytes: int = 1 <
         yield pa.Table.from_batches(kept)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, for work that makes many rows of each."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def bounded_sample(df: DataFrame, by: list[str], n: int) -> list[Row]:
     """About n rows of df, the same ones at every run: those of smallest hash of `by`. All rows, if they aren't more.
 
