@@ -54,8 +54,8 @@ def plain(char: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def unstable() -> re.Pattern:
-    """Runs of characters that fail the quick check, with the character before them."""
+def unstable() -> tuple[re.Pattern, re.Pattern]:
+    """A character that fails the quick check; runs of them, with the character before."""
     spans: list[list[int]] = []
     for cp in range(0x80, 0x110000):
         if 0xD800 <= cp < 0xE000 or 0x3400 <= cp < 0x9FFF or 0xAC00 <= cp < 0xD7A4:
@@ -70,19 +70,22 @@ def unstable() -> re.Pattern:
                 spans.append([cp, cp])
     odd = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
     # a line's end after a soft hyphen shows the hyphen
-    return re.compile(f"[^{odd}]?[{odd}]+\n?", re.DOTALL)
+    return re.compile(f"[{odd}]"), re.compile(f"[^{odd}]?[{odd}]+\n?", re.DOTALL)
 
 
 def one_form(text: str | None) -> str | None:
     """text in the one form of all texts that look like it; null stays null."""
     if text is None or text.isascii():
         return text
+    odd, segments = unstable()
+    if not odd.search(text):
+        return text
 
     def spliced(m: re.Match) -> str:
         segment = re.sub("­(?=[­​-‏⁠﻿]*\r?\n)", "-", m[0])
         return unicodedata.normalize("NFC", "".join(map(plain, unicodedata.normalize("NFD", segment) if not segment.isascii() else segment)))
 
-    return unstable().sub(spliced, text)
+    return segments.sub(spliced, text)
 
 
 def with_one_form(df: DataFrame, key: str, text: str, name: str = "form") -> DataFrame:
