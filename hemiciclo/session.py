@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,16 @@ def local_session(cpus: int = 8, name: str = "hemiciclo", **conf: str) -> SparkS
     return SparkSession.builder.master(f"local[{cpus}]").appName(name).config(map=settings).getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where its folder is shared; elsewhere it goes with --py-files."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
