@@ -31,11 +31,12 @@ from hemiciclo.llm.tables import buffered
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenizer pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WINDOW = 16
-MEAN_CHUNK = 128
+WINDOW = 8
+MEAN_CHUNK = 256
 TABLE_BYTES = 128 << 20
 # U+001C..U+001F are white space to Python but not to the pattern
 BOUNDARY = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[^\S\x1c-\x1f])")
+LAST_BOUNDARY = re.compile(r".*(?<=[^\s\x1c-\x1f])(?=[^\S\x1c-\x1f])", re.DOTALL)
 
 
 @lru_cache(maxsize=4)
@@ -77,7 +78,7 @@ class ChunkTable:
         found = BOUNDARY.search(text)
         core = None
         if found:
-            first, last = found.start(), max(m.start() for m in BOUNDARY.finditer(text))
+            first, last = found.start(), LAST_BOUNDARY.match(text).end()
             if last > first:
                 core = text[:first], self.encode(text[first:last]), text[last:]
         self.size += 2 * len(chunk) + 36 * len(core[1] if core else ()) + 300
@@ -112,15 +113,18 @@ def encoded(batches: Iterable[pa.RecordBatch], text: str, name: str, vocabulary:
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+        used = data[: offsets[-1]]
+        at = cuts(used, window, mean)
+        for _ in range(3):  # a cut within a character moves behind it
+            at = at + ((at < len(used)) & ((used[np.minimum(at, len(used) - 1)] & 0xC0) == 0x80))
+        at = np.unique(at)
+        # a text's cuts are those whose window lies within it, so that they depend on nothing else
+        begin, end = np.searchsorted(at, offsets[:-1] + window), np.searchsorted(at, offsets[1:])
+        whole = used.tobytes()
         for i in range(len(column)):
-            raw = data[offsets[i] : offsets[i + 1]]
-            if not len(raw):
+            if offsets[i] == offsets[i + 1]:
                 continue
-            at = cuts(raw, window, mean)
-            for _ in range(3):  # a cut within a character moves behind it
-                at = at + ((at < len(raw)) & ((raw[np.minimum(at, len(raw) - 1)] & 0xC0) == 0x80))
-            edges = [0, *dict.fromkeys(at[at < len(raw)].tolist()), len(raw)]
-            whole = raw.tobytes()
+            edges = [int(offsets[i]), *at[begin[i] : end[i]].tolist(), int(offsets[i + 1])]
             ids = chunks.ids([whole[a:b] for a, b in zip(edges, edges[1:])])
             lengths[i] = len(ids)
             values.append(np.array(ids, dtype=np.int32))

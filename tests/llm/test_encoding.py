@@ -39,6 +39,6 @@ def test_shared_passages_are_encoded_once():
     shared = " ".join(str(k * k) for k in range(2000))
     for start in ("", "otra introducción: ", "x"):
         raw = (start + shared).encode()
-        at = [0, *encoding.cuts(np.frombuffer(raw, np.uint8), 16, 64).tolist(), len(raw)]
+        at = [0, *encoding.cuts(np.frombuffer(raw, np.uint8), 8, 64).tolist(), len(raw)]
         table.ids([raw[a:b] for a, b in zip(at, at[1:])])
     assert table.hits > 1.7 * table.misses
