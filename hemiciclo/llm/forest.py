@@ -2,7 +2,8 @@
 
 A tree gives each vector a long string of bits, the sides of random hyperplanes it
 lies on, and is the sorted array of these strings. Rows are shuffled by tree and
-the first bits; prefixes that hold too many rows are cut longer. A task sorts its
+the first bits; the rows of a prefix that holds too many are hashed again as seen from
+one of them, which parts even a narrow bundle of directions. A task sorts its
 rows and descends: the array is halved at the next bit as long as both parts keep
 at least `least` rows and the whole has more than `leaf`, so similar vectors end
 below a prefix as long as their density allows; where a part would be smaller, it
@@ -105,7 +106,7 @@ def directions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(units, pa.binary()), pa.array(hashes, pa.binary())], names=["key", "unit", "rounded"])
 
 
-def strings(batches: Iterable[pa.RecordBatch], trees: int, bits: int, hot: dict[tuple[int, int, int], int], bare: bool) -> Iterator[pa.RecordBatch]:
+def strings(batches: Iterable[pa.RecordBatch], trees: int, bits: int, hot: dict[tuple[int, int, int], tuple[int, bytes]], bare: bool) -> Iterator[pa.RecordBatch]:
     """Of (dir, unit): for each tree a row with the prefix that it is shuffled by, and its string."""
     for part in buffered(batches, 8192):
         dirs = part["dir"].to_numpy()
@@ -118,14 +119,17 @@ def strings(batches: Iterable[pa.RecordBatch], trees: int, bits: int, hot: dict[
             for tree in range(trees):
                 code = bit_strings(units, tree)
                 prefix = code >> (BITS - bits)
-                if hot:
-                    longer = np.array([hot.get((int(width), tree, int(p)), 0) for p in prefix])
-                    prefix = np.where(longer > 0, (code >> np.maximum(0, BITS - bits - longer)) | np.int64(1) << 61, prefix)
-                names = ["width", "tree", "prefix"]
-                out = [pa.array(np.full(len(rows), width, np.int32)), pa.array(np.full(len(rows), tree, np.int32)), pa.array(prefix)]
+                for p in np.unique(prefix) if hot else ():
+                    if (crowd := hot.get((int(width), tree, int(p)))) is not None:
+                        more, seen_from = crowd
+                        own = np.flatnonzero(prefix == p)
+                        code[own] = bit_strings(units[own] - np.frombuffer(seen_from, dtype=np.float32), 500 + tree)
+                        prefix[own] = p << more | code[own] >> (BITS - more) | np.int64(1) << 61
+                names = ["width", "tree", "prefix", "u"]
+                out = [pa.array(np.full(len(rows), width, np.int32)), pa.array(np.full(len(rows), tree, np.int32)), pa.array(prefix), packed]
                 if not bare:
-                    out += [pa.array(code), pa.array(dirs[rows]), packed]
-                    names += ["code", "dir", "u"]
+                    out += [pa.array(code), pa.array(dirs[rows])]
+                    names += ["code", "dir"]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
 
@@ -148,15 +152,15 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least_cosine: floa
     bits = max(0, min(24, ceil(log2(max(1, many) / bucket_rows)))) if many > bucket_rows else 0
     hot: dict = {}
     if bits:
-        head = StructType([StructField("width", IntegerType()), StructField("tree", IntegerType()), StructField("prefix", LongType())])
+        head = StructType([StructField("width", IntegerType()), StructField("tree", IntegerType()), StructField("prefix", LongType()), StructField("u", BinaryType())])
 
         def prefixes(batches):
             return strings(batches, trees, bits, {}, True)
 
         # at most trees * many / (4 * bucket_rows) prefixes hold that many rows
-        crowded = dirs.select("dir", "unit").mapInArrow(prefixes, head).groupBy("width", "tree", "prefix").count().where(F.col("count") > 4 * bucket_rows).collect()
-        hot = {(r["width"], r["tree"], r["prefix"]): ceil(log2(r["count"] / bucket_rows)) + 2 for r in crowded}
-    body = StructType([StructField("width", IntegerType()), StructField("tree", IntegerType()), StructField("prefix", LongType()), StructField("code", LongType()), StructField("dir", LongType()), StructField("u", BinaryType())])
+        crowded = dirs.select("dir", "unit").mapInArrow(prefixes, head).groupBy("width", "tree", "prefix").agg(F.count("*").alias("n"), F.min("u").alias("u")).where(F.col("n") > 4 * bucket_rows).collect()
+        hot = {(r["width"], r["tree"], r["prefix"]): (ceil(log2(r["n"] / bucket_rows)) + 2, bytes(r["u"])) for r in crowded}
+    body = StructType([StructField("width", IntegerType()), StructField("tree", IntegerType()), StructField("prefix", LongType()), StructField("u", BinaryType()), StructField("code", LongType()), StructField("dir", LongType())])
 
     def grow(batches):
         return strings(batches, trees, bits, hot, False)
