@@ -107,7 +107,7 @@ class ChunkTable:
 
 def encoded(batches: Iterable[pa.RecordBatch], text: str, name: str, vocabulary: str, window: int, mean: int, limit: int) -> Iterator[pa.RecordBatch]:
     chunks = ChunkTable(encoder(vocabulary).encode_ordinary, limit)
-    for part in buffered(batches, 4096, 8 << 20):
+    for part in buffered(batches, 4096, 2 << 20):
         values, lengths = [], np.zeros(part.num_rows, dtype=np.int64)
         column = part[text].combine_chunks().cast(pa.large_binary()).fill_null(b"")
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
