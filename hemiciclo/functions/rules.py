@@ -15,29 +15,40 @@ def occurrences(text: Column, key: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(key)))) / len(key)).cast("int")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def topic(text: Column, pack: dict[str, list[str]] = lex.AXES, none: str = "otros") -> Column:
     """struct(axis, confidence): the topic with most substring hits (ties: first of the pack) and its share."""
-    lower = F.lower(text)
-    hits = F.array(*(F.struct(reduce(lambda a, b: a + b, [occurrences(lower, k) for k in keys]).alias("n"), F.lit(-i).alias("o"), F.lit(axis).alias("axis")) for i, (axis, keys) in enumerate(pack.items())))
-    best = F.array_max(hits)
-    total = F.aggregate(hits, F.lit(0), lambda a, h: a + h["n"])
-    found = total > 0
-    return F.struct(F.when(found, best["axis"]).otherwise(none).alias("axis"), F.when(found, best["n"] / total).otherwise(0.0).alias("confidence"))
+
+    def hits(t: Column) -> Column:
+        return F.array(*(F.struct(reduce(lambda a, b: a + b, [occurrences(t, k) for k in keys]).alias("n"), F.lit(-i).alias("o"), F.lit(axis).alias("axis")) for i, (axis, keys) in enumerate(pack.items())))
+
+    def chosen(h: Column) -> Column:
+        return bound(
+            F.struct(F.array_max(h).alias("best"), F.aggregate(h, F.lit(0), lambda a, x: a + x["n"]).alias("total")),
+            lambda s: F.struct(F.when(s["total"] > 0, s["best"]["axis"]).otherwise(none).alias("axis"), F.when(s["total"] > 0, s["best"]["n"] / s["total"]).otherwise(0.0).alias("confidence")),
+        )
+
+    return bound(F.lower(text), lambda t: bound(hits(t), chosen))
 
 
 def first_class(text: Column, pack: list[tuple[str, str]] = lex.INSTRUMENTS, none: str = "unspecified") -> Column:
-    lower = F.lower(text)
-    chain = F.when(lower.rlike(pack[0][1]), pack[0][0])
-    for name, pattern in pack[1:]:
-        chain = chain.when(lower.rlike(pattern), name)
-    return chain.otherwise(none)
+    def chosen(lower: Column) -> Column:
+        chain = F.when(lower.rlike(pack[0][1]), pack[0][0])
+        for name, pattern in pack[1:]:
+            chain = chain.when(lower.rlike(pattern), name)
+        return chain.otherwise(none)
+
+    return bound(F.lower(text), chosen)
 
 
 def tags(text: Column, keys: list[str]) -> Column:
     """The keys that match, joined by "; ", or null."""
-    lower = F.lower(text)
-    hit = F.array_compact(F.array(*(F.when(lower.rlike(k), F.lit(k)) for k in keys)))
-    return F.when(F.size(hit) > 0, F.array_join(hit, "; "))
+    hit = bound(F.lower(text), lambda t: F.array_compact(F.array(*(F.when(t.rlike(k), F.lit(k)) for k in keys))))
+    return F.nullif(F.array_join(hit, "; "), F.lit(""))
 
 
 def first_match(text: Column, pattern: str = lex.EVIDENCE) -> Column:
@@ -67,12 +78,12 @@ def vague(text: Column) -> Column:
 
 def annotated(df, text: str):
     """df with the rule columns of a text; null texts get null features and score 0."""
-    t = F.col(text)
     points = lambda cond, n: F.when(cond, n).otherwise(0)
+    t = F.col(text)
     df = df.withColumns({
         "topic": topic(t), "instrument": first_class(t), "population": tags(t, lex.POPULATIONS), "territory": tags(t, lex.TERRITORIES), "evidence": first_match(t), "numbers": numbers(t),
-        "quant": quant(t), "horizon": horizon(t), "cost": has(t, lex.COST), "funding": has(t, lex.FUNDING), "vague": vague(t),
-    })
+        "quant": quant(t), "horizon": horizon(t), "cost": has(t, lex.COST), "funding": has(t, lex.FUNDING), "weak": has(t, lex.VAGUE),
+    }).withColumn("vague", F.col("weak") & ~F.col("quant") & ~F.col("horizon") & (F.col("instrument") == "unspecified")).drop("weak")
     score = points(F.col("quant"), 20) + points(F.col("horizon"), 15) + points(F.col("instrument") != "unspecified", 15) + points(F.col("population").isNotNull(), 10) + points(F.col("territory").isNotNull(), 10) + points(F.col("cost") | F.col("funding"), 10) + points(F.col("evidence").isNotNull(), 10) - points(F.col("vague"), 10)
     return df.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score)))
 

@@ -9,7 +9,7 @@ from hemiciclo.functions import text as T
 from hemiciclo.operators import copies, groups, models, search, vectors
 from hemiciclo.plans.registry import Registry
 from hemiciclo.plans.rules import quoted, sql_fold
-from hemiciclo.session import table
+from hemiciclo.session import spread, table
 
 registry = Registry()
 query = registry.query
@@ -29,7 +29,7 @@ FORM = f"trim(regexp_replace(regexp_replace(regexp_replace({sql_fold('text')}, {
 @query(f"""WITH f AS (SELECT doc_id, source, {FORM} AS form FROM documents), c AS (SELECT form, min(doc_id) AS class_key, count(DISTINCT source) AS parties FROM f WHERE length(form) >= 80 GROUP BY form HAVING count(DISTINCT source) > 1)
     SELECT doc_id, source, class_key, parties FROM f JOIN c USING (form)""")
 def exact_duplicates(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", T.without_boilerplate(F.col("text"), lex.BOILERPLATE).alias("form"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", T.without_boilerplate(F.col("text"), lex.BOILERPLATE).alias("form"))
     return copies.exact_classes(docs, "doc_id", "source", "form")
 
 
@@ -120,7 +120,7 @@ QUESTION = "Agua potable en la zona rural"
 
 
 def corpus(spark, d):
-    p = table(spark, d, "propuestas").distinct()
+    p = spread(table(spark, d, "propuestas").distinct())
     return p.withColumn("corpus", T.folded(F.concat_ws(" ", "party", "axis", "proposal_text", "source_snippet", "instrument_type")))
 
 

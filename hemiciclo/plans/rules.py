@@ -9,7 +9,7 @@ from hemiciclo.functions import rules as R
 from hemiciclo.functions import text as T
 from hemiciclo.operators import groups, segment
 from hemiciclo.plans.registry import Registry
-from hemiciclo.session import table
+from hemiciclo.session import spread, table
 
 registry = Registry()
 query = registry.query
@@ -63,7 +63,7 @@ ANNOTATED = f"""WITH base AS (SELECT *, lower(text) AS t FROM documents), featur
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "axis", "section_guess"))
 
 
 @query(ANNOTATED + """, rolled AS (SELECT coalesce(source, '(none)') AS source, topic AS a, grouping(topic) AS g, count(*) AS statements_n, round(avg(score), 6) AS avg_score, round(avg(quant::INT), 6) AS pct_quant, round(avg(horizon::INT), 6) AS pct_horizon,
