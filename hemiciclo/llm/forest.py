@@ -7,8 +7,9 @@ one of them, which parts even a narrow bundle of directions. A task sorts its
 rows and descends: the array is halved at the next bit as long as both parts keep
 at least `least` rows and the whole has more than `leaf`, so similar vectors end
 below a prefix as long as their density allows; where a part would be smaller, it
-ascends and stays with its sibling. Below each prefix all cosines are taken at
-once. The candidates of all trees are united and their cosines taken exactly.
+ascends: its rows and all of its sibling's see each other, and the sibling goes on.
+Below each prefix all cosines are taken at once. A row's nearest of each tree are
+united and their cosines taken exactly.
 
 Vectors of one direction are searched as one: each of them has the same
 neighbours, so `k + 1` of its smallest keys stand for it, however many it has.
@@ -33,6 +34,7 @@ LEAF = 1024
 LEAST = 48
 BUCKET_ROWS = 16_384
 BITS = 60
+BLOCK = 8192  # rows at a time that the few of a small part see
 
 
 def planes(tree: int, width: int, bits: int = BITS) -> np.ndarray:
@@ -45,15 +47,18 @@ def bit_strings(units: np.ndarray, tree: int) -> np.ndarray:
     return sides.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
-def leaves(codes: np.ndarray, units: np.ndarray, leaf: int, least: int) -> Iterator[np.ndarray]:
-    """Rows below each prefix. codes are sorted; where the bits don't tell rows apart, their projections do."""
+def leaves(codes: np.ndarray, units: np.ndarray, leaf: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Rows below each prefix, with None, or two sets of rows that see each other.
+
+    codes are sorted; where the bits don't tell rows apart, their projections do.
+    """
     stack = [(0, len(codes), BITS - 1)]
     while stack:
         a, z, bit = stack.pop()
         if z - a <= leaf:
-            yield np.arange(a, z)
+            yield np.arange(a, z), None
         elif bit < 0:
-            yield from halved(np.arange(a, z), units, leaf, 0)
+            yield from ((rows, None) for rows in halved(np.arange(a, z), units, leaf, 0))
         else:
             cut = a + int(np.searchsorted(codes[a:z] >> bit & 1, 1))
             if min(cut - a, z - cut) >= least:
@@ -62,7 +67,10 @@ def leaves(codes: np.ndarray, units: np.ndarray, leaf: int, least: int) -> Itera
                 stack.append((a, z, bit - 1))
             else:  # the few of the smaller part are searched with all of the larger one, which goes on without them
                 few, many = ((a, cut), (cut, z)) if cut - a < z - cut else ((cut, z), (a, cut))
-                yield np.concatenate([np.arange(*few), np.arange(*many)[: max(0, leaf - (few[1] - few[0]))]])
+                head = min(many[1], many[0] + max(0, leaf - (few[1] - few[0])))
+                yield np.concatenate([np.arange(*few), np.arange(many[0], head)]), None
+                for start in range(head, many[1], BLOCK):
+                    yield np.arange(*few), np.arange(start, min(many[1], start + BLOCK))
                 stack.append((*many, bit - 1))
 
 
@@ -78,16 +86,32 @@ def halved(rows: np.ndarray, units: np.ndarray, leaf: int, depth: int) -> Iterat
     yield from halved(rows[order[len(rows) // 2 :]], units, leaf, depth + 1)
 
 
-def near_within(units: np.ndarray, keep: int, least_cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, other) of each row's `keep` nearest of the others, at about least_cosine or above."""
-    s = units @ units.T
-    np.fill_diagonal(s, -2)
-    wanted = s >= least_cosine - 1e-4
-    for i in np.flatnonzero(wanted.sum(axis=1) > keep):
-        best = np.argpartition(-s[i], keep)[:keep]
-        wanted[i] = False
-        wanted[i, best] = True
-    return np.nonzero(wanted)
+class Nearest:
+    """The `keep` nearest that each row has met so far, at about least_cosine or above."""
+
+    def __init__(self, rows: int, keep: int, least_cosine: float):
+        self.floor = least_cosine - 1e-4
+        self.cosine = np.full((rows, keep), -3, np.float32)
+        self.other = np.full((rows, keep), -1, np.int64)
+
+    def meet(self, rows: np.ndarray, others: np.ndarray, s: np.ndarray) -> None:
+        """Let rows see others; s has their cosines."""
+        keep = self.cosine.shape[1]
+        own = self.cosine[rows]
+        live = np.flatnonzero((s.max(axis=1) >= self.floor) & (s.max(axis=1) > own.min(axis=1)))
+        if not len(live):
+            return
+        s, rows = s[live], rows[live]
+        at = np.argpartition(-s, keep - 1, axis=1)[:, :keep] if s.shape[1] > keep else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+        met = (others[at][:, :, None] == self.other[rows][:, None, :]).any(axis=2)
+        cosine = np.concatenate([own[live], np.where(met, np.float32(-3), np.take_along_axis(s, at, 1))], axis=1)
+        other = np.concatenate([self.other[rows], others[at]], axis=1)
+        best = np.argpartition(-cosine, keep - 1, axis=1)[:, :keep]
+        self.cosine[rows], self.other[rows] = np.take_along_axis(cosine, best, 1), np.take_along_axis(other, best, 1)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        row, place = np.nonzero(self.cosine >= max(self.floor, -1.5))
+        return row, self.other[row, place]
 
 
 def directions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +193,17 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, least_cosine: floa
         code = table["code"].to_numpy()
         order = np.argsort(code, kind="stable")
         units = np.frombuffer(b"".join(table["u"].to_pylist()), dtype=np.float32).reshape(len(code), -1)[order]
-        ids, out = table["dir"].to_numpy()[order], []
-        for below in leaves(code[order], units, leaf, LEAST):
-            a, b = near_within(units[below], k + 2, least_cosine)
-            out.append(np.stack([ids[below[a]], ids[below[b]]]))
-        both = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-        return pa.table({"a": both[0], "b": both[1]})
+        ids, best = table["dir"].to_numpy()[order], Nearest(len(code), k + 2, least_cosine)
+        for below, beside in leaves(code[order], units, leaf, LEAST):
+            s = units[below] @ units[below if beside is None else beside].T
+            if beside is None:
+                np.fill_diagonal(s, -2)
+                best.meet(below, below, s)
+            else:
+                best.meet(below, beside, s)
+                best.meet(beside, below, s.T)
+        a, b = best.pairs()
+        return pa.table({"a": ids[a], "b": ids[b]})
 
     pair = StructType([StructField("a", LongType()), StructField("b", LongType())])
     candidates = dirs.select("dir", "unit").mapInArrow(grow, body).groupBy("width", "tree", "prefix").applyInArrow(search, pair).distinct()

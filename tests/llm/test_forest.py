@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.forest import nearest
+from hemiciclo.llm.forest import leaves, nearest
 
 
 def brute(vectors, k, least):
@@ -49,3 +49,24 @@ def test_dense_cluster_keeps_all_rows(spark):
 def test_few(spark):
     assert found(spark, [], 5, 0.0) == set()
     assert found(spark, [("a", [1.0])], 5, -1.0) == set()
+
+
+def test_few_beside_a_dense_bundle(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(24)
+    vectors = {f"d{i:04}": base + 0.15 * rng.standard_normal(24) for i in range(6000)}
+    aside = base + 0.3 * rng.standard_normal(24)
+    vectors |= {f"few{i:02}": aside + 0.02 * rng.standard_normal(24) for i in range(3)}
+    got = found(spark, [(k, v.tolist()) for k, v in vectors.items()], 5, 0.9, leaf=96)
+    want = {(a, b) for a, b in brute(vectors, 5, 0.9) if a[0] == "f"}
+    assert len(want) == 15 and len(got & want) >= 14
+
+
+def test_small_part_and_all_of_its_sibling_meet():
+    codes = np.sort(np.concatenate([np.arange(3), (1 << 59) + np.arange(500) * (1 << 40)]))
+    met = np.zeros((503, 503), int)
+    for rows, others in leaves(codes, np.eye(503, dtype=np.float32), 64, 48):
+        met[np.ix_(rows, rows if others is None else others)] += 1
+        if others is not None:
+            met[np.ix_(others, rows)] += 1
+    assert (met[:3] > 0).all() and (met[:, :3] > 0).all()
