@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -448,13 +449,15 @@ def scanned(df: DataFrame, key: str, doc: str, fields: list[str], cut_fields: li
                     if page:
                         rows.append((key_, field, "page_number", None, None))
                     known = words_of(body, field in cut_fields)
+                    same = blake2b(" ".join(body.split()).encode("utf-8", "surrogatepass"), digest_size=9).hexdigest()
                     rows += {(key_, field, "broken", (x + y).lower(), apart.lower()) for x, y, apart in map(parts, BROKEN.finditer(body))}
-                    rows += [(key_, field, "word", w, None) for w in known if not w.isdigit()]
+                    rows += [(key_, field, "word", w, same) for w in known if not w.isdigit()]
             yield batch(["key", "field", "what", "a", "b"], rows)
 
     seen = checkpointed(stacked.select("key", "doc", *fields).mapInArrow(read, STRINGS("key", "field", "what", "a", "b")))
     words = seen.where("what = 'word'")
-    counts = words.groupBy("a").agg(F.count("*").alias("n")).withColumnRenamed("a", "word")
+    # a text that stands under many keys counts once: neither its misread words nor its right ones grow common by it
+    counts = words.groupBy("a").agg(F.countDistinct("b").alias("n")).withColumnRenamed("a", "word")
 
     def guesses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):

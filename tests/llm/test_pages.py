@@ -92,3 +92,15 @@ def test_repaired_fields(spark):
         assert all(part == part.strip() and part.startswith("Para los vecinos") and part.endswith("socio-ambiental") for part in text.split(". ")[:1] + [text.rstrip(".").split(". ")[-1]])
         if b:
             assert got[i, "b"] == "socio-ambiental, (ver página 27 del anexo)"
+
+
+def test_misread_statement_under_many_ids(spark):
+    r = random.Random(4)
+    rows = [(f"p{i:03}", f"doc_partido_nerica_{i % 9:04}", f"Acta {i}: " + sentence(r)) for i in range(120)]
+    copy = sentence(r).replace("quebrada", "qiiebrada")
+    rows += [(f"q{i:03}", f"doc_partido_sapaqui_{i % 5:04}", copy if i % 2 else copy.replace(" ", "\n", 1)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, doc string, a string")
+    found = {(x["id"], x["kind"]) for x in P.noise(df, "id", "doc", ["a"]).collect()}
+    assert found == {(f"q{i:03}", "misread") for i in range(60)}
+    fixed = {x["id"]: x["repaired"] for x in P.repaired_fields(df, "id", "doc", ["a"]).collect()}
+    assert {fixed[f"q{i:03}"] for i in range(60)} == {copy.replace("qiiebrada", "quebrada")}
