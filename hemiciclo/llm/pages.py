@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -31,7 +32,7 @@ from hemiciclo.llm.sameness import one_form
 from hemiciclo.llm.tables import bounded_sample, checkpointed, sliced
 
 SAMPLE = 3000
-TITLES = 2000
+GRAM = 8
 RATIO, COMMON = 10, 5
 
 # Characters or pairs and what they are misread as.
@@ -130,29 +131,48 @@ def title_key(line: str, doc_id: str) -> str | None:
     return YEARS.sub("\x02", s) if s and len(s.replace("\x01", "")) >= 5 else None
 
 
+@lru_cache(maxsize=1 << 12)
+def title_pattern(key: str, name: str) -> re.Pattern:
+    """A title of the plan of this name, in any year."""
+    return re.compile("".join(r"[2z][o0][\doisgbz]{2}" if c == "\x02" else re.escape(name) if c == "\x01" else re.escape(c) for c in key))
+
+
 class Titles:
     """Finds the running titles of a plan in its texts, whole or damaged."""
 
     def __init__(self, keys: list[str]):
         self.keys = sorted(keys, key=len, reverse=True)
-        self.patterns = [re.compile("".join(r"[2z][o0][\doisgbz]{2}" if c == "\x02" else "(?P<name>.{3,40}?)" if c == "\x01" else re.escape(c) for c in k)) for k in self.keys]
         # the longest stretch without name or year must stand in a text that has the title
         self.anchors = [max(re.split("[\x01\x02]", k), key=len) for k in self.keys]
+        # each anchor is looked up by its rarest stretch of GRAM characters (of its length, if shorter), so a text's work doesn't grow with the keys
+        grams = [{a[i : i + GRAM] for i in range(max(1, len(a) - GRAM + 1))} for a in self.anchors]
+        common = Counter(g for own in grams for g in own)
+        self.index: dict[int, dict[str, list[int]]] = {}
+        for place, own in enumerate(grams):
+            rarest = min(own, key=lambda g: (common[g], g))
+            self.index.setdefault(len(rarest), {}).setdefault(rarest, []).append(place)
+
+    def candidates(self, text: str) -> list[int]:
+        """Places of the keys whose anchor stands in a folded text, in their order."""
+        out: list[int] = []
+        for n, index in self.index.items():
+            found = {text[i : i + n] for i in range(len(text) - n + 1)} & index.keys()
+            out += [place for g in found for place in index[g] if self.anchors[place] in text]
+        return sorted(out)
 
     def spans(self, text: str, doc_id: str) -> list[tuple[int, int]]:
+        names = plan_names(doc_id)
         quick = folded_text(text)
-        if not any(a in quick for a in self.anchors):
+        if not any(name in quick for name in names):  # every title names its plan
+            return []
+        places = self.candidates(quick)
+        if not places:
             return []
         s, at = shape(text)
         out = []
-        names = None
-        for pattern, anchor, key in zip(self.patterns, self.anchors, self.keys):
-            if anchor not in s:
-                continue
-            names = names or plan_names(doc_id)
+        for place in places:
             for name in names:
-                whole = re.compile(pattern.pattern.replace("(?P<name>.{3,40}?)", re.escape(name)))
-                found = [m.span() for m in whole.finditer(s)]
+                found = [m.span() for m in title_pattern(self.keys[place], name).finditer(s)]
                 out += [(at[a], at[z - 1] + 1) for a, z in found if not any(at[a] < y and at[z - 1] >= x for x, y in out)]
                 if found:
                     break
@@ -351,11 +371,8 @@ def batch(schema_names: list[str], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(schema_names))], names=schema_names)
 
 
-def running_titles(texts: DataFrame, limit: int = TITLES) -> list[str]:
-    """Title keys that head at least two plans, or stand three times in one, counted over all texts.
-
-    If they are more than `limit`, the number of plans asked is doubled until they aren't.
-    """
+def running_titles(texts: DataFrame) -> list[str]:
+    """Title keys that head at least two plans, or stand three times in one, counted over all texts: all of them."""
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -368,11 +385,7 @@ def running_titles(texts: DataFrame, limit: int = TITLES) -> list[str]:
             yield batch(["title", "doc"], rows)
 
     counted = texts.select("doc", "text").mapInArrow(keys, STRINGS("title", "doc")).groupBy("title", "doc").count().groupBy("title").agg(F.count("*").alias("plans"), F.max("count").alias("most"))
-    counted = checkpointed(counted.where("plans > 1 OR most > 2"))
-    plans = 1
-    while (kept := counted.where((F.col("plans") >= plans) & (F.lit(plans <= 1) | (F.col("plans") > 1)))).count() > limit:
-        plans *= 2
-    return sorted(r["title"] for r in kept.select("title").collect())
+    return sorted(r["title"] for r in counted.where("plans > 1 OR most > 2").select("title").collect())
 
 
 class Scan:
@@ -431,7 +444,7 @@ def scanned(df: DataFrame, key: str, doc: str, fields: list[str], cut_fields: li
     finder = Titles(titles)
     chosen = bounded_sample(texts.where(F.length("text") < 20_000), ["key", "field"], sample)
     labels = Labels().trained([tuple(f for _, f, _ in lines_of(prepared(r["text"]), r["doc"], finder, r["field"] in cut_fields)) for r in chosen])
-    shared = spark.sparkContext.broadcast((titles, labels.emits, labels.moves))  # at most `limit` titles and two small tables
+    shared = spark.sparkContext.broadcast((titles, labels.emits, labels.moves))  # every title form and two small tables
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, emits, moves = shared.value

@@ -104,3 +104,17 @@ def test_misread_statement_under_many_ids(spark):
     assert found == {(f"q{i:03}", "misread") for i in range(60)}
     fixed = {x["id"]: x["repaired"] for x in P.repaired_fields(df, "id", "doc", ["a"]).collect()}
     assert {fixed[f"q{i:03}"] for i in range(60)} == {copy.replace("qiiebrada", "quebrada")}
+
+
+def test_titles_are_all_kept_however_many(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices(["ta", "mu", "ni", "ra", "con", "pa", "do", "su"], k=5))
+    plans = [(f"doc_partido_{word()}_{i:04}", f"Cuaderno vecinal {word()} {word()}") for i in range(2100)]
+    titles = [(d, f"{t} de {d.split('_')[2].title()}") for d, t in plans]
+    texts = spark.createDataFrame([(d, f"Se reparará la\n{t}\nposta {k}.") for d, t in titles for k in range(3)], "doc string, text string")
+    keys = set(P.running_titles(texts))
+    assert len(keys) > 2000 and {P.title_key(t, d) for d, t in titles} <= keys
+    finder = P.Titles(sorted(keys))
+    for d, t in titles[::50]:
+        text = f"Se reparará la\n{t.upper().replace('O', '0')}\nposta."
+        assert [text[a:z] for a, z in finder.spans(text, d)] == [t.upper().replace("O", "0")]
