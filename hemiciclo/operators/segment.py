@@ -65,4 +65,4 @@ def statements(docs: DataFrame, key: str, text: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy("section_id", "pos")
     numbered = found.withColumn("n", F.row_number().over(order)).withColumn("tokens_n", T.token_count(F.col("candidate"))).where("tokens_n >= 6")
     first = numbered.withColumn("copy", F.row_number().over(Window.partitionBy(key, "candidate").orderBy("n"))).where("copy = 1")
-    return first.select(F.concat(F.lit("doc_"), F.col(key), F.lit("_p"), F.lpad("n", 4, "0")).alias("statement_id"), key, "section_id", "section_guess", F.col("candidate").alias("statement"), "tokens_n")
+    return first.select(F.concat(F.lit("doc_"), F.col(key), F.lit("_p"), F.lpad("n", F.greatest(F.lit(4), F.length(F.col("n").cast("string"))), "0")).alias("statement_id"), key, "section_id", "section_guess", F.col("candidate").alias("statement"), "tokens_n")

@@ -148,3 +148,9 @@ def test_model_helpers(spark):
     assert models.importances(df, "k", "y", ["f", "g"], 10)[0][0] == "f"
     assert tuple(models.plane(df, "k", "v").first())[1:] == (1.0, 2.0, "svd_first2")
     assert models.label_source(df, df.limit(1), "l", 60)[1] == "gold" and models.label_source(df.limit(3), df, "l", 60)[1] == "silver"
+
+
+def test_statement_ids_differ_beyond_9999(spark):
+    text = "\n".join(f"- Construir la posta número {i} en el distrito con fondos del municipio." for i in range(10_020))
+    ids = [r[0] for r in segment.statements(spark.createDataFrame([(7, text)], "id int, text string"), "id", "text").select("statement_id").collect()]
+    assert len(ids) == len(set(ids)) > 10_000 and "doc_7_p0001" in ids and "doc_7_p10001" in ids
