@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemiciclo.session import checkpointed, table
 
-__all__ = ["bounded_sample", "buffered", "checkpointed", "one_per_key", "sliced", "table", "whole"]
+__all__ = ["below_cutoff", "buffered", "checkpointed", "one_per_key", "sliced", "table", "whole"]
 
 
 def one_per_key(df: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -48,17 +48,13 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
-def bounded_sample(df: DataFrame, by: list[str], n: int) -> list[Row]:
-    """About n rows of df, the same ones at every run: those of smallest hash of `by`. All rows, if they aren't more.
-
-    Tasks keep what lies under a cutoff made from the count, so about 1.2 n rows reach the driver however many tasks there are.
-    """
+def below_cutoff(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """About n rows of df (up to 1.2 n), the same ones at every run: those whose hash of `by` lies below a cutoff made from the count. All rows, if they aren't more."""
     total = df.count()
     if total <= n:
-        return df.collect()
-    cutoff = int((1 << 40) * min(1.0, (1.2 * n + 50) / total))
-    drawn = df.withColumn("__hash", F.pmod(F.xxhash64(*by), F.lit(1 << 40))).where(F.col("__hash") < cutoff).limit(3 * n).collect()
-    return sorted(drawn, key=lambda r: (r["__hash"], *map(repr, r)))[:n]
+        return df
+    cutoff = int((1 << 40) * min(1.0, (1.1 * n) / total))
+    return df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < cutoff)
 
 
 def whole(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

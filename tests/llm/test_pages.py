@@ -112,9 +112,57 @@ def test_titles_are_all_kept_however_many(spark):
     plans = [(f"doc_partido_{word()}_{i:04}", f"Cuaderno vecinal {word()} {word()}") for i in range(2100)]
     titles = [(d, f"{t} de {d.split('_')[2].title()}") for d, t in plans]
     texts = spark.createDataFrame([(d, f"Se reparará la\n{t}\nposta {k}.") for d, t in titles for k in range(3)], "doc string, text string")
-    keys = set(P.running_titles(texts))
+    keys = {x["title"] for x in P.running_titles(texts).collect()}
     assert len(keys) > 2000 and {P.title_key(t, d) for d, t in titles} <= keys
-    finder = P.Titles(sorted(keys))
+    own = {x["doc"]: x["titles"] for x in P.titles_by_plan(texts).collect()}
+    assert max(map(len, own.values())) <= 3  # a plan gets its own titles, not all
     for d, t in titles[::50]:
         text = f"Se reparará la\n{t.upper().replace('O', '0')}\nposta."
-        assert [text[a:z] for a, z in finder.spans(text, d)] == [t.upper().replace("O", "0")]
+        assert [text[a:z] for a, z in P.Titles(own[d]).spans(text, d)] == [t.upper().replace("O", "0")]
+
+
+def test_wide_title_and_title_only_within_lines(spark):
+    title = "Plan de gobierno municipal concertado y participativo de la agrupación de vecinos independientes unidos por el progreso de Nerica"
+    rows = [(f"doc_a_nerica_{i:04}", f"Se hará la obra número {i} de la\n{title}\nposta vecinal del barrio.") for i in range(4)]
+    rows += [("doc_a_nerica_0009", f"Se hará la obra {title.upper()} de agua.")]
+    df = spark.createDataFrame([(f"k{i}", d, t) for i, (d, t) in enumerate(rows)], "id string, doc string, a string")
+    assert {(x["id"], x["kind"]) for x in P.noise(df, "id", "doc", ["a"]).collect()} == {(f"k{i}", "header") for i in range(5)}
+
+
+def states(text):
+    lines = P.lines_of(P.prepared(text), "d", P.Titles([]), False)
+    return {line: (P.FORMS[seen[0]], P.STATES[s]) for (line, seen, _), s in zip(lines, P.Labels().path([x for _, x, _ in lines]))}
+
+
+def test_path_overrules_a_form():
+    """The same bare number is a page mark between lines that read on, and an entry in a column of numbers."""
+    prose = "La junta vecinal construirá las obras de agua en los\n33\nbarrios altos del distrito con el presupuesto de la\nmunicipalidad y la mano de obra de los vecinos."
+    column = "La junta vecinal construirá las obras de agua en los anexos.\nMeta:\n12\n33\n41\n8\nLa municipalidad pondrá la mano de obra y los materiales de las obras."
+    assert states(prose)["33"] == ("bare", "page")
+    assert states(column)["33"] == ("bare", "entry")
+    assert P.repaired(P.prepared(column), "d", P.Titles([]), P.Labels(), False)[2] is False
+
+
+def test_layout_alone_changes_the_path():
+    """With its layout tables made flat the model reads the column's numbers as it would by their form."""
+    import numpy as np
+
+    flat = P.Labels()
+    flat = P.Labels([*flat.tables[:2], *(np.full_like(t, 1 / t.shape[1]) for t in flat.tables[2:])])
+    lines = P.lines_of("Los vecinos pondrán la mano de obra y los materiales de la\n12\n33\nobra del barrio alto y del barrio bajo de la ciudad vieja.", "d", P.Titles([]), False)
+    shown = [x for _, x, _ in lines]
+    assert P.Labels().path(shown) != flat.path(shown)
+
+
+def test_other_scripts_stay():
+    text = "el ángulo α y la densidad ρ; Москва 👩🏽\u200d🌾"
+    assert P.prepared(text) == text
+    assert P.prepared("la сasa\xa0азul у １２") == "la casa азul у １２".replace("азul", P.one_form("азul")).replace("у", "y").replace("１２", "12")
+
+
+def test_many_texts_at_once_read_as_one_by_one():
+    r = random.Random(8)
+    model = P.Labels()
+    texts = [[(r.randrange(len(P.FORMS)), *(r.randrange(n) for n in P.KINDS)) for _ in range(r.choice([1, 2, 7, 40]))] for _ in range(60)]
+    assert [p.tolist() for p in model.paths(texts)] == [model.path(t) for t in texts]
+    assert model.paths([]) == []
