@@ -18,18 +18,32 @@ def test_ways_of_typing(spark):
     got = [tuple(r) for r in canonical(df, "id", "party", ref, "party_id", "party_name", "party_code").collect()]
     want = [(f"r{i}", k) for i, k in enumerate(TYPED.values())] + [("r0", 1)]
     assert sorted(got) == sorted(want)
-    blocks = [tuple(r) for r in canonical(df, "id", "party", ref, "party_id", "party_name", "party_code").collect()]
-    assert sorted(blocks) == sorted(want)
+    for block in (20, 1000):
+        blocks = [tuple(r) for r in canonical(df, "id", "party", ref, "party_id", "party_name", "party_code", block=block).collect()]
+        assert sorted(blocks) == sorted(want), block
     none = canonical(df, "id", "party", ref.limit(0), "party_id", "party_name", "party_code").collect()
     assert {r["party_id"] for r in none} == {-1} and canonical(df.limit(0), "id", "party", ref, "party_id", "party_name").count() == 0
 
 
 def test_trie_finds_what_a_scan_finds():
     words = ["andina", "andino", "laborista", "laboral", "industrial", "magisterial", "municipalista", "regional", "regio"]
-    names = Names([(i, w, None) for i, w in enumerate(words)])
+    names = Names.of([(i, w, None) for i, w in enumerate(words)])
     for typed in [*words, "andnia", "lavoral", "regioanl", "industriales", "xyz", "munizipalista"]:
         got = names.near(typed, 2)
         for i, w in enumerate(words):
             if edits(typed, w) <= 2:
                 assert got[i] <= edits(typed, w)
         assert all(edits(typed, words[i]) <= 2 * d for i, d in got.items())
+
+
+def test_blocks_agree_on_shared_aliases_and_long_names(spark):
+    long = "Movimiento " + " ".join(f"vecino{i}" for i in range(400))
+    ref = spark.createDataFrame([(1, "Norte Unido", "NU"), (2, "Unido Norte", "UN"), (3, "Frente Sur Andino", "FSA"), (4, "Alianza Sur Andino", "FSB"), (5, long, "ML")], "party_id long, party_name string, party_code string")
+    typed = ["norte  unido", "UNIDO NORTE", "Sur Andino", "Frente Sur Andin", "nu", long.upper(), long[:-1]]
+    df = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(typed)], "id string, party string")
+    want = {"r0": 1, "r1": 2, "r2": -1, "r3": 3, "r4": 1, "r5": 5, "r6": 5}
+    for block in (7, 1000):
+        assert {r["id"]: r["party_id"] for r in canonical(df, "id", "party", ref, "party_id", "party_name", "party_code", block=block).collect()} == want, block
+    few = ref.where("party_id < 3")
+    for block in (1, 1000):
+        assert {r["id"]: r["party_id"] for r in canonical(df, "id", "party", few, "party_id", "party_name", "party_code", block=block).collect() if r["id"] in ("r0", "r1")} == {"r0": 1, "r1": 2}, block
