@@ -50,3 +50,25 @@ def test_hot_passage_nulls_and_empty(spark):
     got = found(spark, rows, 160)
     assert len(got) == 400 and ("h399", 2, 4 + len(passage)) in got
     assert found(spark, [], 160) == set()
+
+
+def test_several_passes_of_a_small_filter(spark):
+    r = random.Random(11)
+    passages = ["".join(r.choices("abcdé ñ", k=40)) for _ in range(8)]
+    rows = [(f"s{k}", f"d{k % 7}", "".join(r.choice([r.choice(passages), "".join(r.choices("abcdefgh", k=25))]) for _ in range(5))) for k in range(120)]
+    df = spark.createDataFrame(rows, "id string, doc string, text string")
+    want = brute(rows, 21)
+    for bits in (256, 4096):
+        got = {(x["id"], x["span_start"], x["span_end"]) for x in shared_spans(df, "id", "doc", "text", 21, filter_bits=bits).collect()}
+        assert got == want
+
+
+def test_filter_keeps_every_block():
+    import numpy as np
+
+    from hemiciclo.llm.spans import in_pass, word_and_mask
+
+    h = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 20_000)
+    word, mask = word_and_mask(h, 999)
+    assert word.min() >= 0 and word.max() == 998 and (mask != 0).all()
+    assert sum(in_pass(h, k, 7).sum() for k in range(7)) == len(h)
