@@ -4,8 +4,9 @@ A text is read as words: maximal runs of letters and digits, without case and
 accents. Each task packs its documents into shards of a bounded number of words
 and sorts the shard's suffixes (by prefix doubling, up to `depth` words, the
 most that decides). Every suffix of every test text is then searched in the
-shard, all at once, by binary search; those whose longest verbatim match has
-at least `words` words give the documents and the items.
+shard, all at once, by binary search. Matches of `words` words that follow each
+other on both sides are one longer match; of each document and item the longest
+verbatim match is given with its length and its places.
 
 The test texts go to the tasks in blocks of a proven size: if they are more than
 `block_chars`, the corpus is searched once for each block.
@@ -20,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from hemiciclo.llm.tables import buffered
 
@@ -105,11 +106,34 @@ class Shard:
             high[open_[~right]] = mid[~right]
 
 
+def longest(docs: np.ndarray, items: np.ndarray, at: np.ndarray, start: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """Of each document and item the longest of their matches: document, item, words of the match, its places in both.
+
+    Each row is a match of `words` words that begins at `at` and `start`; of equal lengths the first in the document counts.
+    """
+    order = np.lexsort((start, at - start, items, docs))
+    docs, items, at, start = docs[order], items[order], at[order], start[order]
+    fresh = np.ones(len(order), dtype=bool)  # a match goes on where the next begins one word later on both sides
+    fresh[1:] = (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]) | (at[1:] != at[:-1] + 1) | (start[1:] != start[:-1] + 1)
+    head = np.flatnonzero(fresh)
+    size = np.diff(np.append(head, len(order))) + words - 1
+    docs, items, at, start = docs[head], items[head], at[head], start[head]
+    best = np.lexsort((start, at, -size, items, docs))
+    docs, items, at, start, size = docs[best], items[best], at[best], start[best], size[best]
+    first = np.ones(len(best), dtype=bool)
+    first[1:] = (docs[1:] != docs[:-1]) | (items[1:] != items[:-1])
+    return docs[first], items[first], size[first], at[first], start[first]
+
+
+PLACES = ("words_n", "doc_word", "item_word")
+
+
 def found_in(part: pa.Table, key: str, text: str, item: str, test_words: pa.Array, test_owner: np.ndarray, items: list, words: int) -> pa.RecordBatch:
-    schema = pa.schema([part.schema.field(key), pa.field(item, pa.array(items).type)])
+    schema = pa.schema([part.schema.field(key), pa.field(item, pa.array(items).type), *(pa.field(n, pa.int64()) for n in PLACES)])
     column = part[text].combine_chunks()
     flat, owner = words_of(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
-    hits: list[np.ndarray] = []
+    none = np.empty(0, dtype=np.int64)
+    hits = (none, none, none, none, none)
     if len(flat) >= words:
         shard = Shard(flat, owner, words)
         codes = shard.codes(test_words)
@@ -121,16 +145,22 @@ def found_in(part: pa.Table, key: str, text: str, item: str, test_words: pa.Arra
             low, high = shard.bounds(codes[starts[:, None] + np.arange(words)])
             many = high - low
             which = np.repeat(starts, many)
-            at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            docs = shard.owner_at[shard.suffixes[at]]
-            hits = [np.unique(np.stack([docs, test_owner[which]], axis=1), axis=0)] if len(docs) else []
-    pairs = hits[0] if hits else np.empty((0, 2), dtype=np.int64)
-    keys = part[key].take(pa.array(pairs[:, 0])).combine_chunks()
-    return pa.RecordBatch.from_arrays([keys.chunk(0) if isinstance(keys, pa.ChunkedArray) and keys.num_chunks else keys, pa.array([items[k] for k in pairs[:, 1]], type=schema.field(1).type)], schema=schema)
-
-
-def leaked(corpus: DataFrame, tests: DataFrame, key: str, text: str, item: str, item_text: str, words: int = WORDS, block_chars: int = BLOCK_CHARS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """key and item of every corpus text that contains `words` consecutive words of a test text.
+            place = shard.suffixes[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            if len(which):
+                doc, owned = shard.owner_at[place], test_owner[which]
+                # places count within a document and an item, from 1
+                begins = np.full(len(column), len(shard.text), dtype=np.int64)
+                np.minimum.at(begins, owner, shard.places)
+                item_begins = np.searchsorted(test_owner, np.arange(len(items)))
+                hits = longest(doc, owned, place - begins[doc] + 1, which - item_begins[owned] + 1, words)
+    keys = part[key].take(pa.array(hits[0])).combine_chunks()
+    keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) and keys.num_chunks else keys
+    return pa.RecordBatch.from_arrays([keys, pa.array([items[k] for k in hits[1]], type=schema.field(1).type), *(pa.array(h, pa.int64()) for h in hits[2:])], schema=schema)
+
+
+def longest_leaks(corpus: DataFrame, tests: DataFrame, key: str, text: str, item: str, item_text: str, words: int = WORDS, block_chars: int = BLOCK_CHARS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """key and item of every corpus text that contains `words` consecutive words of a test text, with the
+    longest such match: words_n, and its first word in the document (doc_word) and in the item (item_word), from 1.
 
     Null, empty and shorter texts on either side give no rows; copies of a document
     each give their rows; an item that occurs several times in a document gives one.
@@ -140,7 +170,7 @@ def leaked(corpus: DataFrame, tests: DataFrame, key: str, text: str, item: str,
     chars = tests.agg(F.sum(F.length("words"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     corpus = corpus.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    schema = StructType([corpus.schema[key], StructField(item, tests.schema["item"].dataType)])
+    schema = StructType([corpus.schema[key], StructField(item, tests.schema["item"].dataType), *(StructField(n, LongType()) for n in PLACES)])
     out: DataFrame | None = None
     for block in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()  # about block_chars characters
@@ -155,5 +185,12 @@ def leaked(corpus: DataFrame, tests: DataFrame, key: str, text: str, item: str,
 
         found = corpus.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    # a document lies in one shard, so only repeated rows of a block could repeat a pair
-    return (out if out is not None else corpus.sparkSession.createDataFrame([], schema)).distinct()
+    # a document lies in one shard, so only repeated rows could repeat a pair
+    found = out if out is not None else corpus.sparkSession.createDataFrame([], schema)
+    best = F.max(F.struct("words_n", (-F.col("doc_word")).alias("doc"), (-F.col("item_word")).alias("own"))).alias("best")
+    return found.groupBy(key, item).agg(best).select(key, item, "best.words_n", (-F.col("best.doc")).alias("doc_word"), (-F.col("best.own")).alias("item_word"))
+
+
+def leaked(corpus: DataFrame, tests: DataFrame, key: str, text: str, item: str, item_text: str, **options) -> DataFrame:
+    """key and item of every corpus text that contains so many consecutive words of a test text, as longest_leaks() finds them."""
+    return longest_leaks(corpus, tests, key, text, item, item_text, **options).select(key, item)

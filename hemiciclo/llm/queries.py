@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from hemiciclo.llm.canonical import canonical
 from hemiciclo.llm.encoding import encode_corpus
 from hemiciclo.llm.forest import nearest
-from hemiciclo.llm.leaks import leaked
+from hemiciclo.llm.leaks import longest_leaks
 from hemiciclo.llm.pages import noise, repaired_fields
 from hemiciclo.llm.residue import residue_scores, with_residue
-from hemiciclo.llm.sameness import look_alikes, with_one_form
+from hemiciclo.llm.sameness import look_alike_classes, look_alikes, with_one_form
 from hemiciclo.llm.spans import shared_spans
 from hemiciclo.llm.tables import one_per_key, whole
 from hemiciclo.llm.topn import top_n
@@ -70,6 +70,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alikes(statements(spark, sf_dir, "propuestas", "proposal_text"), "proposal_id", "proposal_text")
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every statement with the class of all that look like it, and how many of them are stored differently."""
+    return look_alike_classes(statements(spark, sf_dir, "propuestas", "proposal_text"), "proposal_id", "proposal_text")
+
+
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every statement's text in the one form of all that look like it."""
     return with_one_form(statements(spark, sf_dir, "propuestas", "proposal_text"), "proposal_id", "proposal_text").select("proposal_id", "form")
@@ -79,8 +84,13 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(whole(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p8_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest match of each document and item that it contains, with its places."""
+    return longest_leaks(whole(spark, sf_dir, "documents", "doc_id", "text"), whole(spark, sf_dir, "eval_items", "item_id", "text"), "doc_id", "text", "item_id", "text")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked(whole(spark, sf_dir, "documents", "doc_id", "text"), whole(spark, sf_dir, "eval_items", "item_id", "text"), "doc_id", "text", "item_id", "text")
+    return p8_longest(spark, sf_dir).select("doc_id", "item_id")
 
 
 def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +109,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_shares, p3_found, p4_found, p4_unmatched, p5_found, p6_found, p6_forms, p7_ids, p8_found, p8_kept, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_shares, p3_found, p4_found, p4_unmatched, p5_found, p6_found, p6_classes, p6_forms, p7_ids, p8_found, p8_longest, p8_kept, p9_found, p9_scores)}
 
 
 SPANS = """WITH p AS (SELECT DISTINCT proposal_id, doc_id, proposal_text AS t FROM propuestas_supervised WHERE proposal_text IS NOT NULL AND doc_id IS NOT NULL),
@@ -111,6 +121,12 @@ LEAKS = """WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text
     dg AS (SELECT DISTINCT doc_id, array_to_string(l[i:i + 19], ' ') AS g FROM (SELECT *, unnest(range(1, len(l) - 18)) AS i FROM d)), eg AS (SELECT DISTINCT item_id, array_to_string(l[i:i + 19], ' ') AS g FROM (SELECT *, unnest(range(1, len(l) - 18)) AS i FROM e)),
     found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))"""
 
+LEAKS_LONGEST = """WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS l FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS l FROM eval_items WHERE text IS NOT NULL),
+    dg AS (SELECT doc_id, i, array_to_string(l[i:i + 19], ' ') AS g FROM (SELECT *, unnest(range(1, len(l) - 18)) AS i FROM d)), eg AS (SELECT item_id, j, array_to_string(l[j:j + 19], ' ') AS g FROM (SELECT *, unnest(range(1, len(l) - 18)) AS j FROM e)),
+    m AS (SELECT doc_id, item_id, i, j, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM dg JOIN eg USING (g)),
+    r AS (SELECT doc_id, item_id, count(*) + 19 AS n, min(i) AS i, min(j) AS j FROM m GROUP BY doc_id, item_id, i - j, run)
+    SELECT doc_id, item_id, n AS words_n, i AS doc_word, j AS item_word FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, i, j) AS k FROM r) WHERE k = 1"""
+
 
 def oracle_sql():
     return {
@@ -126,5 +142,6 @@ def oracle_sql():
                       GROUP BY ALL))
             WHERE place <= 3""",
         "p8_found": LEAKS + " SELECT doc_id, item_id FROM found",
+        "p8_longest": LEAKS_LONGEST,
         "p8_kept": LEAKS + " SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)",
     }

@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from hemiciclo.llm.tables import buffered, checkpointed
+
+SALTS = 8
 # Letters of other scripts and the Latin letters they look like.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Һ": "H", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I",
@@ -93,26 +96,50 @@ def with_one_form(df: DataFrame, key: str, text: str, name: str = "form") -> Dat
     schema = StructType([df.schema[key], df.schema[text], StructField(name, StringType())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            forms = pa.array([one_form(t) for t in b.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), forms], names=[key, text, name])
+        for part in buffered(batches, 4096, 4 << 20):
+            for b in part.to_batches():
+                forms = pa.array([one_form(t) for t in b.column(1).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), forms], names=[key, text, name])
 
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
+def spellings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, spelling (two hashes of the text as stored) and form (two hashes of its one form), without nulls; read once."""
+    forms = with_one_form(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()), key, text, "form")
+    two = lambda c: (F.xxhash64(F.lit(1), c), F.xxhash64(F.lit(7), c))
+    (s1, s2), (f1, f2) = two(text), two("form")
+    return checkpointed(forms.select(F.col(key).alias("key"), s1.alias("s1"), s2.alias("s2"), f1.alias("f1"), f2.alias("f2")))
+
+
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row for each key: key, class_key (the smallest key whose text looks the same), members_n and
+    spellings_n of its class, and links_n, the members whose text is stored differently.
+
+    One row of df for each key. Null texts and keys give no row, empty texts are a class of their
+    own. Nothing is paired: counts are combined before they are shuffled, so the result has a row
+    for each text whatever the size of a class; look_alikes() has the pairs.
+    """
+    rows = spellings(df, key, text)
+    own = rows.groupBy("f1", "f2", "s1", "s2").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    forms = own.groupBy("f1", "f2").agg(F.min("least").alias("class_key"), F.sum("n").alias("members_n"), F.count("*").alias("spellings_n"))
+    # a class is found from its spelling, which is joined to many rows: the side of the rows may be split, this one is small for each
+    classes = own.join(forms, ["f1", "f2"]).select("f1", "f2", "s1", "s2", "class_key", "members_n", "spellings_n", (F.col("members_n") - F.col("n")).alias("links_n"))
+    return rows.join(classes, ["f1", "f2", "s1", "s2"]).select(F.col("key").alias(key), "class_key", "members_n", "spellings_n", "links_n")
+
+
+def look_alikes(df: DataFrame, key: str, text: str, salts: int = SALTS) -> DataFrame:
     """Pairs of keys (key_a < key_b) whose texts look the same but differ in their characters.
 
     One row of df for each key. Null texts take no part, empty ones equal only
     themselves. Texts stored alike give no pair. A form that a single spelling has is
-    dropped before the pairs are made, so what is joined are forms with a result.
+    dropped before the pairs are made, so what is joined are forms with a result; a form of
+    many texts is spread over `salts` tasks.
     """
-    forms = with_one_form(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()), key, text, "form").select(
-        F.col(key).alias("key"), F.xxhash64(F.lit(1), text).alias("spelling"), F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(7), "form").alias("f2")
-    )
-    several = forms.groupBy("f1", "f2").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("f1", "f2")
-    kept = forms.join(several, ["f1", "f2"], "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    return a.join(b, (F.col("a.f1") == F.col("b.f1")) & (F.col("a.f2") == F.col("b.f2")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.spelling") != F.col("b.spelling"))).select(
-        F.col("a.key").alias(f"{key}_a"), F.col("b.key").alias(f"{key}_b")
-    )
+    rows = spellings(df, key, text)
+    several = rows.groupBy("f1", "f2").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).where("lo <> hi").select("f1", "f2")
+    kept = rows.join(several, ["f1", "f2"], "left_semi")
+    a = kept.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts))).alias("a")
+    b = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))).alias("b")
+    same = (F.col("a.f1") == F.col("b.f1")) & (F.col("a.f2") == F.col("b.f2")) & (F.col("a.salt") == F.col("b.salt"))
+    return a.join(b, same & (F.col("a.key") < F.col("b.key")) & ((F.col("a.s1") != F.col("b.s1")) | (F.col("a.s2") != F.col("b.s2")))).select(F.col("a.key").alias(f"{key}_a"), F.col("b.key").alias(f"{key}_b"))

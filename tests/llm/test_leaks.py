@@ -4,7 +4,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from hemiciclo.llm.leaks import leaked
+from hemiciclo.llm.leaks import leaked, longest_leaks
 
 
 def words(t):
@@ -18,7 +18,7 @@ def brute(docs, items, n):
         w = words(t)
         for k in range(len(w) - n + 1):
             grams.setdefault(tuple(w[k : k + n]), set()).add(i)
-    return {(d, i) for d, t in docs for k in range(len(words(t)) - n + 1) for i in grams.get(tuple(words(t)[k : k + n]), ())}
+    return {(d, i) for d, t in docs for w in [words(t)] for k in range(len(w) - n + 1) for i in grams.get(tuple(w[k : k + n]), ())}
 
 
 def test_matches_brute_force(spark):
@@ -43,3 +43,11 @@ def test_matches_brute_force(spark):
     assert len(want) > 20
     assert leaked(df.limit(0), tests, "doc_id", "text", "item_id", "text").count() == 0
     assert leaked(df, tests.limit(0), "doc_id", "text", "item_id", "text").columns == ["doc_id", "item_id"]
+
+
+def test_longest_match_and_its_places(spark):
+    item = " ".join(f"w{i}" for i in range(60))
+    w = item.split()
+    docs = [(1, "a b c " + " ".join(w[5:30]) + " x " + " ".join(w[30:52]).upper()), (2, " ".join(w[:20]) + " y " + " ".join(w[1:21])), (3, " ".join(w[:19])), (3, item), (3, "z " + item)]
+    found = longest_leaks(spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame([(7, item), (8, "k " + item)], "i long, t string"), "d", "t", "i", "t")
+    assert {tuple(r) for r in found.collect()} == {(1, 7, 25, 4, 6), (1, 8, 25, 4, 7), (2, 7, 20, 1, 1), (2, 8, 20, 1, 2), (3, 7, 60, 1, 1), (3, 8, 60, 1, 2)}
