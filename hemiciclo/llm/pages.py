@@ -556,7 +556,7 @@ def scanned(df: DataFrame, key: str, doc: str, fields: list[str], cut_fields: li
     spark = df.sparkSession
     stacked = df.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(doc).cast("string"), F.lit("")).alias("doc"), *(F.col(f).alias(f) for f in fields)).where("key IS NOT NULL")
     texts = stacked.select("key", "doc", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("x")).select("key", "doc", "x.field", "x.text").where("text IS NOT NULL AND text <> ''")
-    titles = titles_by_plan(texts).withColumnRenamed("doc", "__doc")
+    titles = checkpointed(titles_by_plan(texts)).withColumnRenamed("doc", "__doc")  # read by the sample and by the reading
     titled = lambda rows: rows.join(titles, F.col("doc") == F.col("__doc"), "left").drop("__doc")
     chosen = titled(below_cutoff(texts.where(F.length("text") < 20_000), ["key", "field"], sample)).collect()  # about 1.2 SAMPLE rows
     labels = Labels().trained([[x for _, x, _ in lines_of(prepared(r["text"]), r["doc"], titles_of(tuple(r["titles"] or ())), r["field"] in cut_fields)] for r in chosen])
