@@ -65,7 +65,7 @@ def has(text: Column, pattern: str) -> Column:
 
 
 def quant(text: Column) -> Column:
-    return has(text, "[0-9]") & has(text, lex.TARGET)
+    return has(text, lex.HAS_NUMBER) & has(text, lex.TARGET)
 
 
 def horizon(text: Column) -> Column:
@@ -142,3 +142,33 @@ def first_plausible(numbers_: Column, text: Column, low: Column, high: Column) -
 def milestone(first_year: Column, first: Column, last: Column, year: int, last_year: int = 2031) -> Column:
     """The value at `year` on the line from the first value to the last."""
     return first + (last - first) * (F.lit(year) - first_year) / F.greatest(F.lit(1), F.lit(last_year) - first_year)
+
+
+def seeded(text: Column, predicted: Column) -> Column:
+    """Whether a sentence is taken as a proposal before anyone judged it: predicted ones with an action or an obligation, others with both."""
+    lower = F.lower(text)
+    action, obligation = lower.rlike("(?U)" + lex.ACTION), lower.rlike("(?U)" + lex.OBLIGATION)  # letters with marks are letters
+    return F.when(predicted, action | obligation).otherwise(action & obligation)
+
+
+def signal(score: Column, axis_prob: Column, instrument_prob: Column) -> Column:
+    """How strongly a statement takes a stance, in [0, 1]; nulls count as 0."""
+    part = lambda c, w: F.coalesce(c, F.lit(0.0)) * w
+    return part(score / 100, 0.5) + part(axis_prob, 0.3) + part(instrument_prob, 0.2)
+
+
+def topic_phrase(label: Column, pack: list[tuple[str, str]] = lex.TOPIC_PHRASES) -> Column:
+    """The phrase for the words of a topic; without one its first three words, or a phrase for none."""
+    lower = F.lower(F.trim(F.regexp_replace(label, r"\s+", " ")))
+    chain = F.when(lower.rlike(pack[0][1]), pack[0][0])
+    for phrase, pattern in pack[1:]:
+        chain = chain.when(lower.rlike(pattern), phrase)
+    parts = F.slice(F.array_distinct(F.filter(F.transform(F.split(lower, r",\s*"), lambda x: F.trim(x)), lambda x: x != "")), 1, 3)
+    sentence = F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2))))
+    return chain.otherwise(F.when(F.size(parts) > 0, F.array_join(sentence, " · ")).otherwise("Agenda programática prioritaria"))
+
+
+def with_defaults(df, doc: str, snippet: str, text: str, missing: str = "doc_missing"):
+    """df whose blank document ids and snippets have a default: a name, and the statement's beginning."""
+    blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    return df.withColumns({doc: F.when(blank(doc), missing).otherwise(F.col(doc)), snippet: F.when(blank(snippet), F.substring(text, 1, 250)).otherwise(F.col(snippet))})

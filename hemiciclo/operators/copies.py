@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hemiciclo.operators.vectors import cosine
 from hemiciclo.session import checkpointed
 
 
 def exact_classes(df: DataFrame, key: str, party: str, form: str, least: int = 80) -> DataFrame:
     """key, class_key (smallest key of its class) and parties of texts that several parties share word for word.
 
-    form is the text to compare. One row for each member; copies aren't paired.
+    form is the text to compare; it is computed once and travels as two hashes. One row for each
+    member; copies aren't paired.
     """
-    classes = df.where(F.length(form) >= least).groupBy(form).agg(F.min(key).alias("class_key"), F.count_distinct(party).alias("parties")).where("parties > 1")
-    return df.join(classes, form).select(key, party, "class_key", "parties")
+    hashed = df.where(F.length(form) >= least).select(key, party, F.xxhash64(form).alias("f1"), F.xxhash64(F.lit(7), form).alias("f2"))
+    rows = checkpointed(hashed)
+    classes = rows.groupBy("f1", "f2").agg(F.min(key).alias("class_key"), F.count_distinct(party).alias("parties")).where("parties > 1")
+    return rows.join(classes, ["f1", "f2"]).select(key, party, "class_key", "parties")
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -39,21 +42,64 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def one_to_one(pairs: DataFrame, group: list[str], a: str, b: str, score: str) -> DataFrame:
-    """Pairs chosen greedily by descending score (ties: smaller a, then b), each a and each b once in its group."""
+    """Pairs chosen greedily by descending score (ties: smaller a, then b), each a and each b once in its group.
+
+    In rounds: a pair that is the best of both its sides is chosen, and the pairs that share a
+    side with it leave. That gives the greedy choice, whose next pair is always of this kind, and
+    no group lies in one task. Each round's rest is checkpointed. Pairs with a null take no part.
+    """
     names = [*group, a, b, score]
+    left = checkpointed(pairs.select(*names).dropna().groupBy(*group, a, b).agg(F.max(score).alias(score)).select(*names))
+    order = F.struct((-F.col(score)).alias("far"), F.col(a).alias("a"), F.col(b).alias("b"))
+    chosen = left.limit(0)
+    while not left.isEmpty():
+        ranked = left.withColumn("__order", order)
+        best = lambda side, name: ranked.groupBy(*group, side).agg(F.min("__order").alias(name))  # noqa: E731, B023
+        now = ranked.join(best(a, "__a"), [*group, a]).join(best(b, "__b"), [*group, b]).where("__order = __a AND __order = __b").select(*names)
+        now = checkpointed(now)
+        chosen = chosen.unionByName(now)
+        left = checkpointed(left.join(now.select(*group, a), [*group, a], "left_anti").join(now.select(*group, b), [*group, b], "left_anti").select(*names))
+    return chosen
+
+
+def exact_links(df: DataFrame, key: str, party: str, form: str, least: int = 80) -> DataFrame:
+    """key_a, key_b, party_a and party_b of equal texts of several parties: each party's smallest key, linked to the smallest of all.
+
+    A class of n parties gives n - 1 links, whatever its size; exact_classes() has the members.
+    """
+    hashed = df.where((F.length(form) >= least) & F.col(party).isNotNull()).select(F.col(key).alias("k"), F.col(party).alias("p"), F.xxhash64(form).alias("f1"), F.xxhash64(F.lit(7), form).alias("f2"))
+    own = hashed.groupBy("f1", "f2", "p").agg(F.min("k").alias("k"))
+    heads = own.groupBy("f1", "f2").agg(F.min(F.struct("k", "p")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    return own.join(heads, ["f1", "f2"]).where(F.col("k") != F.col("head.k")).select(F.col("head.k").alias("key_a"), F.col("k").alias("key_b"), F.col("head.p").alias("party_a"), F.col("p").alias("party_b"))
 
-    def chosen(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values([score, a, b], ascending=[False, True, True])
-        used_a, used_b, kept = set(), set(), []
-        for x, y in zip(table[a], table[b]):
-            take = x not in used_a and y not in used_b
-            kept.append(take)
-            if take:
-                used_a.add(x)
-                used_b.add(y)
-        return table[kept]
-
-    return pairs.select(*names).groupBy(*group).applyInPandas(chosen, pairs.select(*names).schema)
+
+def near_links(df: DataFrame, key: str, party: str, tokens: str, vector: str, least_cosine: float = 0.93, least_tokens: int = 8, jaccard: float = 0.65, close: tuple[float, float] = (0.985, 0.45)) -> DataFrame:
+    """key_a, key_b, party_a, party_b, cosine and jaccard of near duplicates of different parties.
+
+    Near is a cosine of least_cosine with a Jaccard similarity of `jaccard`, or the pair of `close`.
+    Texts of one party with the same token set are one class, named by their smallest key, whose
+    vector counts. Sets are joined first (exactly, by rare tokens), then the cosine decides. Rows
+    with a null, of few tokens or with vectors of different lengths give no link.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(party).alias("p"), F.array_sort(F.array_distinct(tokens)).alias("t"), F.col(vector).cast("array<double>").alias("v")).dropna().where(F.size("t") >= least_tokens)
+    classes = rows.groupBy("t", "p").agg(F.min(F.struct("k", "v")).alias("m")).select("t", "p", "m.k", "m.v")
+    sets = classes.groupBy("t").agg(F.min("k").alias("s"))
+    members = checkpointed(classes.join(sets, "t").select("s", "p", "k", "v"))
+    both = similar_sets(sets.select("s", "t"), "s", "t", min(jaccard, close[1]))
+    both = both.unionByName(sets.select(F.col("s").alias("s_a"), F.col("s").alias("s_b"), F.lit(1.0).alias("jaccard")))
+    side = lambda n: members.select(*(F.col(c).alias(f"{c}_{n}") for c in members.columns))
+    met = both.join(side("a"), "s_a").join(side("b"), "s_b").where((F.col("p_a") != F.col("p_b")) & (F.size("v_a") == F.size("v_b")) & ((F.col("s_a") != F.col("s_b")) | (F.col("k_a") < F.col("k_b"))))
+    found = met.withColumn("cosine", cosine(F.col("v_a"), F.col("v_b"))).where((F.col("cosine") >= least_cosine) & ((F.col("jaccard") >= jaccard) | ((F.col("cosine") >= close[0]) & (F.col("jaccard") >= close[1]))))
+    first = F.col("k_a") < F.col("k_b")
+    pick = lambda c, n, m: F.when(first, F.col(f"{c}_{n}")).otherwise(F.col(f"{c}_{m}"))
+    return found.select(pick("k", "a", "b").alias("key_a"), pick("k", "b", "a").alias("key_b"), pick("p", "a", "b").alias("party_a"), pick("p", "b", "a").alias("party_b"), "cosine", "jaccard")
+
+
+def merged_links(exact: DataFrame, near: DataFrame) -> DataFrame:
+    """Both kinds of links, one row for each pair: exact wins, then the highest cosine; with kind."""
+    both = exact.select("key_a", "key_b", "party_a", "party_b", F.lit(1.0).alias("cosine"), F.lit(1.0).alias("jaccard"), F.lit("exact_duplicate").alias("kind")).unionByName(near.withColumn("kind", F.lit("near_duplicate")))
+    best = F.max_by(F.struct("party_a", "party_b", "cosine", "jaccard", "kind"), F.struct(F.col("kind") == "exact_duplicate", "cosine", "jaccard"))
+    return both.groupBy("key_a", "key_b").agg(best.alias("b")).select("key_a", "key_b", "b.*")
 
 
 def similar_sets(df: DataFrame, key: str, tokens: str, least: float = 0.8) -> DataFrame:

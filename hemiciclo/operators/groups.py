@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hemiciclo.functions import lexicons as lex
 from hemiciclo.functions import rules as R
 from hemiciclo.functions import text as T
+from hemiciclo.session import checkpointed
 
 
 def share(flag: Column) -> Column:
@@ -55,7 +56,7 @@ def stance_hits(df: DataFrame, key: str, text: str, pack=lex.STANCES) -> DataFra
     return df.select(*df.columns, F.explode(found).alias("hit")).select(*df.columns, "hit.dimension", "hit.stance")
 
 
-def contradictions(hits: DataFrame, party: str, key: str, signal: str, pack=lex.STANCES) -> DataFrame:
+def contradictions(hits: DataFrame, party: str, key: str, signal: str, pack=lex.STANCES, digits: int | None = 4) -> DataFrame:
     """Per party and dimension the strongest statement of either stance, where both exist.
 
     Only the best of each stance goes into the join, by a partial aggregate, however many hits a party has.
@@ -66,7 +67,8 @@ def contradictions(hits: DataFrame, party: str, key: str, signal: str, pack=lex.
     side = F.create_map(*(F.lit(x) for stance, (_, s) in sides.items() for x in (stance, s)))[F.col("stance")]
     sided = best.withColumn("side", side)
     wide = sided.groupBy("party", "dimension").agg(*(F.max(F.when(F.col("side") == s, F.struct("stance", "b"))).alias(s) for s in ("a", "b"))).where("a IS NOT NULL AND b IS NOT NULL AND a.b.key <> b.b.key")
-    return wide.select("party", "dimension", F.col("a.stance").alias("stance_a"), F.col("a.b.key").alias("key_a"), F.col("b.stance").alias("stance_b"), F.col("b.b.key").alias("key_b"), F.round(-50 * (F.col("a.b.far") + F.col("b.b.far")), 4).alias("contradiction_score"))
+    score = -50 * (F.col("a.b.far") + F.col("b.b.far"))
+    return wide.select("party", "dimension", F.col("a.stance").alias("stance_a"), F.col("a.b.key").alias("key_a"), F.col("b.stance").alias("stance_b"), F.col("b.b.key").alias("key_b"), (score if digits is None else F.round(score, digits)).alias("contradiction_score"))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -87,12 +89,22 @@ def class_metrics(matrix: DataFrame) -> DataFrame:
     return sums.select(F.col("c").alias("class"), "support", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1"))
 
 
+def overall_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """classes_n, rows_n, accuracy, macro and support-weighted F1 over all labelled rows; 0 where a denominator is 0. No grid of classes is made."""
+    cells = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    zero = F.lit(0).cast("long")
+    sides = cells.select(F.explode(F.array(F.struct(F.col("t").alias("c"), F.col("n").alias("s"), zero.alias("p"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(zero).alias("h")), F.struct(F.col("p").alias("c"), zero.alias("s"), F.col("n").alias("p"), zero.alias("h")))).alias("x")).select("x.*")
+    f = sides.groupBy("c").agg(F.sum("s").alias("s"), F.sum("p").alias("p"), F.sum("h").alias("h")).withColumn("f1", F.when(F.col("s") + F.col("p") > 0, 2 * F.col("h") / (F.col("s") + F.col("p"))).otherwise(0.0))
+    guarded = lambda top: F.round(F.when(F.sum("s") > 0, F.sum(top) / F.sum("s")).otherwise(0.0), 6)
+    return f.agg(F.count("*").alias("classes_n"), F.sum("s").alias("rows_n"), guarded(F.col("h")).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"), guarded(F.col("f1") * F.col("s")).alias("weighted_f1"))
+
+
 def tfidf(df: DataFrame, key: str, text: str, stopwords: list[str]) -> DataFrame:
     """key, term, n, tf and tf_idf with idf = ln(N / df). Counts are over all texts with a term."""
-    terms = df.select(key, F.explode(F.filter(T.words(F.col(text)), lambda w: ~w.isin(stopwords))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    docs = terms.select(F.count_distinct(key).alias("docs"))
-    # one row; the term's document count is an aggregate of its own, combined before the shuffle
+    words = df.select(key, F.filter(T.words(F.col(text)), lambda w: ~w.isin(stopwords)).alias("ws"))
+    # one row for each text and term, as in the result: read, split and counted once
+    terms = checkpointed(words.select(key, F.size("ws").alias("size"), F.explode("ws").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"), F.max("size").alias("size")))
+    docs = terms.select(F.count_distinct(key).alias("docs"))  # one row
     used = terms.groupBy("term").agg(F.count("*").alias("used"))
-    sizes = terms.groupBy(key).agg(F.sum("n").alias("size"))
-    joined = terms.join(used, "term").join(sizes, key).join(F.broadcast(docs), F.lit(True))
+    joined = terms.join(used, "term").join(F.broadcast(docs), F.lit(True))
     return joined.select(key, "term", "n", F.round(F.col("n") / F.col("size"), 6).alias("tf"), F.round(F.col("n") / F.col("size") * F.log(F.col("docs") / F.col("used")), 6).alias("tf_idf"))

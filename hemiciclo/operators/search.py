@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemiciclo.functions import text as T
+from hemiciclo.functions.rules import bound
 
 
 def fold_query(query: str) -> str:
@@ -20,19 +21,23 @@ def scored(df: DataFrame, corpus: str, query: str, score: str, quant: str, horiz
     q = fold_query(query)
     words = [w for w in (dict.fromkeys(q.split()) if distinct else q.split()) if len(w) >= 2]
     flag = lambda c, n: F.when(F.col(c), n).otherwise(0.0)
+    own = lambda part, bonus: F.col(score) / part + flag(quant, bonus) + flag(horizon, bonus)
     if not q:
-        value = F.col(score) / 20 + flag(quant, 0.5) + flag(horizon, 0.5)
-    else:
-        value = F.when(F.contains(corpus, F.lit(q)), 8.0).otherwise(0.0)
+        return df.withColumn("search_score", F.round(own(20, 0.5), 6))
+
+    def points(c: Column) -> Column:
+        value = F.when(F.contains(c, F.lit(q)), 8.0).otherwise(0.0)
         for w in words:
-            value = value + F.when(F.contains(corpus, F.lit(w)), 2.2).otherwise(0.0)
-        value = value + F.col(score) / 30 + flag(quant, 0.8) + flag(horizon, 0.8)
-    return df.withColumn("search_score", F.round(value, 6))
+            value = value + F.when(F.contains(c, F.lit(w)), 2.2).otherwise(0.0)
+        return value
+
+    # the corpus may be an expression: it is bound, so that it is folded once and not for each word
+    return df.withColumn("search_score", F.round(bound(F.col(corpus), points) + own(30, 0.8), 6))
 
 
 def top(df: DataFrame, key: str, query: str, corpus: str, score: str, quant: str, horizon: str, n: int = 8) -> DataFrame:
-    """The n best rows; ties by score, flags, then the key."""
-    found = scored(df, corpus, query, score, quant, horizon).where(F.col("search_score") > 0)
+    """The n best rows, without their corpus; ties by score, flags, then the key. Rows that came twice count once."""
+    found = scored(df, corpus, query, score, quant, horizon).drop(corpus).distinct().where(F.col("search_score") > 0)
     return found.orderBy(F.desc("search_score"), F.desc_nulls_last(score), F.desc_nulls_last(quant), F.desc_nulls_last(horizon), key).limit(n)
 
 
@@ -43,7 +48,7 @@ def page(df: DataFrame, key: str, query: str, corpus: str, score: str, quant: st
     """
     for column, value in (where or {}).items():
         df = df.where(F.col(column) == value)
-    found = scored(df, corpus, query, score, quant, horizon, distinct=False).where(F.col("search_score") > least)
+    found = scored(df, corpus, query, score, quant, horizon, distinct=False).drop(corpus).distinct().where(F.col("search_score") > least)
     return found.orderBy(F.desc("search_score"), F.desc_nulls_last(score), key).offset((number - 1) * size).limit(size)
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from hemiciclo.plans import relational, reports, rules
+from hemiciclo.plans import diagnostics, relational, reports, rules
 from hemiciclo.plans.registry import Registry
 
 
 def merged() -> Registry:
     out = Registry()
-    for part in (rules.registry, reports.registry, relational.registry):
+    for part in (rules.registry, reports.registry, relational.registry, diagnostics.registry):
         out.functions.update(part.functions)
         out.sql.update(part.sql)
     return out

@@ -53,16 +53,6 @@ def duplicate_components(spark, d):
     return copies.connected(p.join(classes, "proposal_text").select("proposal_id", "head"), "proposal_id", "head")
 
 
-@query()
-def greedy_match(spark, d):
-    """One-to-one matches between the nations of two regions by the closeness of their customers' mean balance."""
-    means = table(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m"))
-    n = table(spark, d, "nation").join(means, F.col("n_nationkey") == F.col("c_nationkey")).select("n_regionkey", "n_name", "m")
-    a, b = n.alias("a"), n.alias("b")
-    pairs = a.join(b, F.col("a.n_regionkey") < F.col("b.n_regionkey")).select(F.col("a.n_regionkey").alias("region_a"), F.col("b.n_regionkey").alias("region_b"), F.col("a.n_name").alias("nation_a"), F.col("b.n_name").alias("nation_b"), (-F.abs(F.col("a.m") - F.col("b.m"))).alias("score"))
-    return copies.one_to_one(pairs, ["region_a", "region_b"], "nation_a", "nation_b", "score").select("region_a", "region_b", "nation_a", "nation_b")
-
-
 # --- vectors
 VECS = "WITH v AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, avg(x) AS x, count(*) AS n FROM v GROUP BY ALL), c AS (SELECT label, max(n) AS n, list(x ORDER BY pos) AS centroid FROM m GROUP BY label)"
 
@@ -120,8 +110,10 @@ QUESTION = "Agua potable en la zona rural"
 
 
 def corpus(spark, d):
-    p = spread(table(spark, d, "propuestas").distinct())
-    return p.withColumn("corpus", T.folded(F.concat_ws(" ", "party", "axis", "proposal_text", "source_snippet", "instrument_type")))
+    # rows that came twice are taken once behind the score, when no text is left to shuffle
+    p = spread(table(spark, d, "propuestas").select("proposal_id", "party", "axis", "proposal_text", "source_snippet", "instrument_type", "concreteness_score", "has_quant_target", "has_time_horizon"))
+    folded = p.withColumn("corpus", T.folded(F.concat_ws(" ", "party", "axis", "proposal_text", "source_snippet", "instrument_type")))
+    return folded.drop("proposal_text", "source_snippet", "instrument_type")
 
 
 @query(f"SELECT proposal_id, search_score FROM (SELECT *, {sql_score(QUESTION)} AS search_score FROM ({CORPUS})) ORDER BY search_score DESC, concreteness_score DESC NULLS LAST, has_quant_target DESC, has_time_horizon DESC, proposal_id LIMIT 8")
@@ -131,7 +123,7 @@ def search_topk(spark, d):
 
 @query(f"SELECT proposal_id, {sql_score(QUESTION)} AS search_score FROM ({CORPUS})")
 def search_scores(spark, d):
-    return search.scored(corpus(spark, d), "corpus", QUESTION, "concreteness_score", "has_quant_target", "has_time_horizon").select("proposal_id", "search_score")
+    return search.scored(corpus(spark, d), "corpus", QUESTION, "concreteness_score", "has_quant_target", "has_time_horizon").drop("corpus").distinct().select("proposal_id", "search_score")
 
 
 @query(f"WITH h AS (SELECT party, axis, row_number() OVER (ORDER BY search_score DESC, concreteness_score DESC NULLS LAST, has_quant_target DESC, has_time_horizon DESC, proposal_id) AS n FROM (SELECT *, {sql_score(QUESTION)} AS search_score FROM ({CORPUS}))) SELECT party, axis, count(*) AS hits_n FROM h WHERE n <= 50 GROUP BY party, axis")

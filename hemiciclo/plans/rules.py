@@ -49,12 +49,15 @@ def sql_has(x: str, pattern: str) -> str:
     return f"regexp_matches({x}, {quoted(pattern)})"
 
 
-QUANT = f"({sql_has('t', '[0-9]')} AND {sql_has('t', lex.TARGET)})"
-HORIZON = sql_has("t", lex.HORIZON)
+# written out, not taken from the pack, so that a slip in the pack shows
+SQL_NUMBER = r"\b\d+[\d\.,]*%?\b"
+SQL_COST = r"s/\.?|soles|millones|miles de millones|presupuesto|costo|gasto"
+QUANT = r"(regexp_matches(t, '\b\d+[\d\.,]*\b') AND regexp_matches(t, '%|por ciento|meta|al\s+\d+|hasta\s+\d+|millones|miles|pbi|ratio'))"
+HORIZON = r"regexp_matches(t, '\b20\d{2}(?:\s*[-–]\s*20\d{2})?\b|\b\d+\s*(d[ií]as|meses|a[ñn]os)\b|corto plazo|mediano plazo|largo plazo|en 100 d[ií]as')"
 FEATURES = f"""
     list_reverse_sort({sql_topics('t')})[1] AS best, list_sum(list_transform({sql_topics('t')}, lambda h: h.n)) AS hits,
     CASE WHEN t IS NOT NULL THEN {sql_class('t')} ELSE 'unspecified' END AS instrument, {sql_tags('t', lex.POPULATIONS)} AS population, {sql_tags('t', lex.TERRITORIES)} AS territory,
-    nullif(regexp_extract(t, {quoted('(' + lex.EVIDENCE + ')')}, 1), '') AS evidence, {QUANT} AS quant, {HORIZON} AS horizon, {sql_has('t', lex.COST)} AS cost, {sql_has('t', lex.FUNDING)} AS funding,
+    nullif(regexp_extract(t, {quoted('(' + lex.EVIDENCE + ')')}, 1), '') AS evidence, {QUANT} AS quant, {HORIZON} AS horizon, {sql_has('t', SQL_COST)} AS cost, {sql_has('t', lex.FUNDING)} AS funding,
     ({sql_has('t', lex.VAGUE)} AND NOT {QUANT} AND NOT {HORIZON} AND {sql_class('t')} = 'unspecified') AS vague"""
 SCORE = """greatest(0, least(100, CASE WHEN quant THEN 20 ELSE 0 END + CASE WHEN horizon THEN 15 ELSE 0 END + CASE WHEN instrument <> 'unspecified' THEN 15 ELSE 0 END + CASE WHEN population IS NOT NULL THEN 10 ELSE 0 END
     + CASE WHEN territory IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN cost OR funding THEN 10 ELSE 0 END + CASE WHEN evidence IS NOT NULL THEN 10 ELSE 0 END - CASE WHEN vague THEN 10 ELSE 0 END))"""
@@ -86,7 +89,7 @@ def instrument_and_tags(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", R.first_class(t).alias("instrument"), R.tags(t, lex.POPULATIONS).alias("population"), R.tags(t, lex.TERRITORIES).alias("territory"), R.first_match(t).alias("evidence"))
 
 
-@query(f"SELECT doc_id, nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(text, {quoted(lex.NUMBER)}))), ';'), '') AS numbers FROM documents")
+@query(f"SELECT doc_id, nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(text, {quoted(SQL_NUMBER)}))), ';'), '') AS numbers FROM documents")
 def numbers_found(spark, sf_dir):
     """Distinct numbers of a text; sorted here, since the twin has no order for distinct lists."""
     found = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({lex.NUMBER})"), 1)))

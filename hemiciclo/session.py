@@ -46,11 +46,13 @@ def spread(df: DataFrame) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint.
 
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset
-    (tests, one machine) a local one is set.
+    The folder is the cluster's spark.checkpoint.dir. Where that is unset one machine gets a
+    local one; a cluster gets an error, since a folder of one machine loses data there.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "hemiciclo-checkpoints"))
     return df.checkpoint(eager=True)
