@@ -99,12 +99,18 @@ def overall_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return f.agg(F.count("*").alias("classes_n"), F.sum("s").alias("rows_n"), guarded(F.col("h")).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"), guarded(F.col("f1") * F.col("s")).alias("weighted_f1"))
 
 
-def tfidf(df: DataFrame, key: str, text: str, stopwords: list[str]) -> DataFrame:
-    """key, term, n, tf and tf_idf with idf = ln(N / df). Counts are over all texts with a term."""
+def term_weights(df: DataFrame, key: str, text: str, stopwords: list[str]) -> DataFrame:
+    """key, term, n, tf and tf_idf with idf = ln(N / df). Counts are over all texts with a term; no term is left out."""
     words = df.select(key, F.filter(T.words(F.col(text)), lambda w: ~w.isin(stopwords)).alias("ws"))
     # one row for each text and term, as in the result: read, split and counted once
     terms = checkpointed(words.select(key, F.size("ws").alias("size"), F.explode("ws").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"), F.max("size").alias("size")))
     docs = terms.select(F.count_distinct(key).alias("docs"))  # one row
     used = terms.groupBy("term").agg(F.count("*").alias("used"))
     joined = terms.join(used, "term").join(F.broadcast(docs), F.lit(True))
-    return joined.select(key, "term", "n", F.round(F.col("n") / F.col("size"), 6).alias("tf"), F.round(F.col("n") / F.col("size") * F.log(F.col("docs") / F.col("used")), 6).alias("tf_idf"))
+    tf = F.col("n") / F.col("size")
+    return joined.select(key, "term", "n", tf.alias("tf"), (tf * F.log(F.col("docs") / F.col("used"))).alias("tf_idf"))
+
+
+def tfidf(df: DataFrame, key: str, text: str, stopwords: list[str]) -> DataFrame:
+    """term_weights() with rounded weights."""
+    return term_weights(df, key, text, stopwords).withColumns({"tf": F.round("tf", 6), "tf_idf": F.round("tf_idf", 6)})

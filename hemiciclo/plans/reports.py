@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hemiciclo.functions import lexicons as lex
+from hemiciclo.functions import rules as R
 from hemiciclo.functions import text as T
 from hemiciclo.operators import copies, groups, models, search, vectors
 from hemiciclo.plans.registry import Registry
@@ -208,15 +210,32 @@ def indicator_map_top1(spark, d):
     return best.select("proposal_id", "b.indicator", "b.hits_n", F.when(-F.col("b.far") >= 3, "alta").when(-F.col("b.far") >= 1, "media").otherwise("baja").alias("map_quality"))
 
 
-# --- models: rows only
+# --- models: checked in tests
+FEATURES, CATEGORIES = ["has_quant_target", "has_time_horizon", "mentions_cost", "mentions_funding_source", "vague_flag", "tokens_n", "axis_confidence"], ["axis", "instrument_type"]
+
+
+def texts(spark, d):
+    return statements(spark, d).where("proposal_text IS NOT NULL")
+
+
+def readiness(spark, d):
+    return models.Readiness(statements(spark, d), "proposal_id", "concreteness_score", FEATURES, CATEGORIES, others=["party"])
+
+
 @query()
 def svd_embed(spark, d):
-    return models.svd_vectors(statements(spark, d).where("proposal_text IS NOT NULL"), "proposal_id", "proposal_text", k=8)
+    return models.svd_vectors(texts(spark, d), "proposal_id", "proposal_text")
 
 
 @query()
 def topics(spark, d):
-    return models.topics(statements(spark, d).where("proposal_text IS NOT NULL"), "proposal_id", "proposal_text", k=6)
+    return models.topics(texts(spark, d), "proposal_id", "proposal_text")
+
+
+@query()
+def topics_kmeans(spark, d):
+    """Topics where no topic model can be fitted."""
+    return models.topics_by_means(texts(spark, d), "proposal_id", "proposal_text")
 
 
 @query()
@@ -224,11 +243,33 @@ def label_model(spark, d):
     return models.cross_validated(supervised(spark, d).where("proposal_text IS NOT NULL"), "proposal_id", "proposal_text", "instrument_type")
 
 
+@query()
+def label_predictions(spark, d):
+    """A class and its probability for every statement, by the model of all labelled ones."""
+    gold = supervised(spark, d).where("proposal_text IS NOT NULL").select("proposal_id", "proposal_text", F.col("axis").alias("label"))
+    silver = gold.withColumn("label", R.topic(F.col("proposal_text"))["axis"])
+    chosen, _ = models.label_source(gold, silver, "label", 60)
+    return models.LabelModel(chosen, "proposal_id", "proposal_text", "label").predicted()
+
+
 @query()
 def readiness_model(spark, d):
-    return models.readiness(statements(spark, d), "proposal_id", "concreteness_score", ["has_quant_target", "has_time_horizon", "mentions_cost", "mentions_funding_source", "vague_flag", "tokens_n", "axis_confidence"])[0]
+    return readiness(spark, d).predictions()
+
+
+@query()
+def readiness_residuals(spark, d):
+    return models.residuals_by_group(readiness(spark, d).predictions("party"), "party")
+
+
+@query()
+def view_importance_top(spark, d):
+    """The 15 features of most gain: a top-k report."""
+    return spark.createDataFrame(readiness(spark, d).importances()[:15], "feature string, importance_pct double")
 
 
 @query()
 def partial_dependence(spark, d):
-    return models.readiness(statements(spark, d), "proposal_id", "concreteness_score", ["has_quant_target", "has_time_horizon", "mentions_cost", "mentions_funding_source", "vague_flag", "tokens_n", "axis_confidence"])[1]
+    """Curves with their band and the place of each value on its own curve."""
+    curves = readiness(spark, d).dependence()
+    return curves.withColumn("x_rank", F.row_number().over(Window.partitionBy("feature").orderBy("value")))  # a few values for each feature
