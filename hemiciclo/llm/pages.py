@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from hemiciclo.llm.sameness import one_form
 from hemiciclo.llm.tables import below_cutoff, checkpointed, sliced
@@ -38,6 +38,7 @@ from hemiciclo.llm.tables import below_cutoff, checkpointed, sliced
 SAMPLE = 3000
 REACH = 20
 RATIO, COMMON = 10, 5
+MISREAD_ROWS = 200_000  # two short strings each
 
 # Characters or pairs and what they are misread as.
 CONFUSIONS = [("a", "ci"), ("e", "c"), ("o", "0"), ("i", "1"), ("l", "1"), ("s", "5"), ("i", "l"), ("l", "i"), ("n", "ri"), ("t", "f"), ("d", "cl"), ("u", "ii"), ("m", "rn"), ("v", "y"), ("b", "6"), ("g", "9"), ("ó", "6"), ("h", "li"), ("í", "ï"), ("á", "à"), ("é", "è"), ("ó", "ò"), ("ú", "ù"), ("q", "g"), ("z", "2"), ("ñ", "fi"), ("rn", "m"), ("cl", "d"), ("w", "vv"), ("b", "8"), ("s", "8"), ("t", "7"), ("a", "4"), ("e", "é"), ("c", "e")]
@@ -510,13 +511,15 @@ class Scan:
     def __init__(self, df: DataFrame, key: str, doc: str, fields: list[str], cut_fields: list[str] = (), sample: int = SAMPLE):
         self.key = key
         self.seen, self.counts, self.misread = scanned(df, key, doc, fields, cut_fields, sample)
-        self.words = self.seen.where("what = 'word'")
         broken = self.seen.where("what = 'broken'")
         compound = self.counts.where("word LIKE '%-%'").select(F.col("word").alias("b"), F.col("n").alias("nc"))
         self.broken = broken.join(self.counts.select(F.col("word").alias("a"), F.col("n").alias("nj")), "a", "left").join(compound, "b", "left")
         # a compound's own hyphen, if the corpus writes it so; a soft hyphen between two words, if it doesn't write them as one
         self.broken = self.broken.withColumn("compound", F.when(F.col("b").contains(" "), F.coalesce("nj", F.lit(0)) < 2).otherwise(F.coalesce(F.col("nc") >= F.coalesce("nj", F.lit(0)), F.lit(False))))
-        self.wrong = self.words.join(self.misread.select(F.col("bad").alias("a"), "good"), "a")
+        words = self.seen.where("what = 'body'").select("key", "field", F.explode("ws").alias("a"))
+        bad = self.misread.select(F.col("bad").alias("a"), "good")
+        # few words are misread in a corpus of any size that is read once; past the bound the words are shuffled to them
+        self.wrong = words.join(F.broadcast(bad) if self.misread.count() <= MISREAD_ROWS else bad, "a")
 
 
 def noise(df: DataFrame, key: str, doc: str, fields: list[str], cut_fields: list[str] = (), sample: int = SAMPLE) -> DataFrame:
@@ -571,21 +574,22 @@ def scanned(df: DataFrame, key: str, doc: str, fields: list[str], cut_fields: li
                 todo += [(key_, field, lines_of(prepared(text), doc_, find, field in cut_fields)) for field, text in zip(fields, values) if text]
             for (key_, field, lines), path in zip(todo, model.paths([[x for _, x, _ in lines] for _, _, lines in todo])):
                 body, header, page = body_of(lines, path)
-                rows.append((key_, field, "body", body, None))
+                # a text's words travel with it, in one row
+                same = blake2b(" ".join(body.split()).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+                rows.append((key_, field, "body", body, same, sorted(w for w in words_of(body, field in cut_fields) if not w.isdigit())))
                 if header:
-                    rows.append((key_, field, "header", None, None))
+                    rows.append((key_, field, "header", None, None, None))
                 if page:
-                    rows.append((key_, field, "page_number", None, None))
-                known = words_of(body, field in cut_fields)
-                same = blake2b(" ".join(body.split()).encode("utf-8", "surrogatepass"), digest_size=9).hexdigest()
-                rows += {(key_, field, "broken", (x + y).lower(), apart.lower()) for x, y, apart in map(parts, BROKEN.finditer(body))}
-                rows += [(key_, field, "word", w, same) for w in known if not w.isdigit()]
-            yield batch(["key", "field", "what", "a", "b"], rows)
-
-    seen = checkpointed(titled(stacked).select("key", "doc", *fields, "titles").mapInArrow(read, STRINGS("key", "field", "what", "a", "b")))
-    words = seen.where("what = 'word'")
-    # a text that stands under many keys counts once: neither its misread words nor its right ones grow common by it
-    counts = words.groupBy("a").agg(F.countDistinct("b").alias("n")).withColumnRenamed("a", "word")
+                    rows.append((key_, field, "page_number", None, None, None))
+                rows += [(key_, field, "broken", *x, None) for x in {((x + y).lower(), apart.lower()) for x, y, apart in map(parts, BROKEN.finditer(body))}]
+            names = ["key", "field", "what", "a", "b"]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.string()) for i in range(5)), pa.array([r[5] for r in rows], pa.list_(pa.string()))], names=[*names, "ws"])
+
+    seen = checkpointed(titled(stacked).select("key", "doc", *fields, "titles").mapInArrow(read, StructType([*STRINGS("key", "field", "what", "a", "b"), StructField("ws", ArrayType(StringType()))])))
+    # a text that stands under many keys counts once: neither its misread words nor its right ones grow common by it;
+    # its copies have one list of words, or a few where they are cut, and counts are combined before they are shuffled
+    once = seen.where("what = 'body'").groupBy("b").agg(F.array_distinct(F.flatten(F.collect_set("ws"))).alias("ws"))
+    counts = checkpointed(once.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
 
     def guesses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
