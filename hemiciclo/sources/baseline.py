@@ -23,6 +23,12 @@ def series_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
 
 
+def delimited(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",") -> DataFrame:
+    """A delimited file with a header, its types inferred unless a schema is given; quoted fields may hold line ends, broken ones are null."""
+    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
 def monthly_snapshot(replies: DataFrame, code: str, body: str, prefer_year: int) -> DataFrame:
     """code, series, period, year and value: the last value of a year up to prefer_year, else the last.
 
