@@ -102,22 +102,32 @@ def merged_links(exact: DataFrame, near: DataFrame) -> DataFrame:
     return both.groupBy("key_a", "key_b").agg(best.alias("b")).select("key_a", "key_b", "b.*")
 
 
-def similar_sets(df: DataFrame, key: str, tokens: str, least: float = 0.8) -> DataFrame:
+def similar_sets(df: DataFrame, key: str, tokens: str, least: float = 0.8, hot: int = 5000) -> DataFrame:
     """Pairs (key_a < key_b) of token sets with a Jaccard similarity of at least `least`, exact.
 
-    One row of df for each set: equal sets should be one row. Prefix filter: only the rarest
-    tokens of a set, as many as any similar set must share one of, are joined; sizes that
-    can't reach the threshold are cut in the join, and only the smallest shared one counts.
+    One row of df for each set: equal sets should be one row, as set_classes() gives them. Prefix
+    filter: only the rarest tokens of a set, as many as any similar set must share one of, are
+    joined; sizes that can't reach the threshold are cut in the join. A token of many sets is
+    split: its sets are dealt to as many tasks as hold `hot` of them each.
     """
     sized = df.select(F.col(key).alias("k"), F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
     rarity = sized.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    ranked = sized.select("k", F.size("t").alias("size"), F.explode("t").alias("w")).join(rarity, "w").groupBy("k", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("t"))
+    ranked = sized.select("k", F.size("t").alias("size"), F.explode("t").alias("w")).join(rarity, "w").groupBy("k", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ts"))
     ranked = checkpointed(ranked)
-    head = F.slice("t", 1, F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9).cast("int") + 1)
-    probes = ranked.select("k", "size", F.explode(head).alias("w"))
-    a, b = probes.alias("a"), probes.alias("b")
-    near = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.size") >= least * F.col("b.size")) & (F.col("b.size") >= least * F.col("a.size"))).select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).distinct()
-    sets = ranked.select("k", "t")
+    head = F.slice("ts", 1, F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9).cast("int") + 1)
+    probes = ranked.select("k", "size", F.explode(head).alias("x")).select("k", "size", "x.w", F.ceil(F.col("x.n") / hot).cast("int").alias("parts"))
+    a = probes.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).alias("a")
+    b = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    near = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.size") >= least * F.col("b.size")) & (F.col("b.size") >= least * F.col("a.size"))).select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).distinct()
+    sets = ranked.select("k", F.transform("ts", lambda x: x["w"]).alias("t"))
     both = near.join(sets.select(F.col("k").alias("ka"), F.col("t").alias("ta")), "ka").join(sets.select(F.col("k").alias("kb"), F.col("t").alias("tb")), "kb")
     jaccard = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
     return both.select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"), jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def set_classes(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """key, class_key (the smallest key with the same token set) and members_n. Empty and null sets give no row."""
+    rows = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("t")).where(F.size("t") > 0)
+    hashed = checkpointed(rows.select("k", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), "t").alias("h2")))
+    classes = hashed.groupBy("h1", "h2").agg(F.min("k").alias("class_key"), F.count("*").alias("members_n"))
+    return hashed.join(classes, ["h1", "h2"]).select(F.col("k").alias(key), "class_key", "members_n")

@@ -46,6 +46,14 @@ def token_similarity(spark, d):
     return copies.similar_sets(sets, "statement", "t").select("statement_a", "statement_b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query(f"""WITH f AS (SELECT proposal_id, list_sort(list_distinct(list_filter(string_split({sql_fold('proposal_text')}, ' '), lambda w: length(w) >= 3 AND NOT list_contains([{', '.join(quoted(w) for w in STOPS)}], w)))) AS t FROM (SELECT DISTINCT proposal_id, proposal_text FROM propuestas WHERE proposal_id IS NOT NULL AND proposal_text IS NOT NULL))
+    SELECT proposal_id, min(proposal_id) OVER (PARTITION BY t) AS class_key, count(*) OVER (PARTITION BY t) AS members_n FROM f WHERE len(t) > 0""")
+def token_classes(spark, d):
+    """Which class of equal token sets a statement belongs to: with token_similarity, all links between different sets."""
+    p = spread(table(spark, d, "propuestas").where("proposal_id IS NOT NULL AND proposal_text IS NOT NULL").select("proposal_id", "proposal_text").distinct())
+    return copies.set_classes(p.select("proposal_id", T.token_set(F.col("proposal_text"), STOPS).alias("t")), "proposal_id", "t")
+
+
 @query("""WITH RECURSIVE p AS (SELECT DISTINCT proposal_id, proposal_text AS t FROM propuestas WHERE length(proposal_text) >= 40), c AS (SELECT t, min(proposal_id) AS head FROM p GROUP BY t HAVING count(*) > 1), e AS (SELECT proposal_id AS u, head AS v FROM p JOIN c USING (t) UNION SELECT head, proposal_id FROM p JOIN c USING (t)),
     r AS (SELECT u AS node, u AS reached FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.reached = e.u) SELECT node, min(reached) AS component FROM r GROUP BY node""")
 def duplicate_components(spark, d):

@@ -94,3 +94,16 @@ def test_published_patterns(spark):
     got = df.select(R.horizon(F.col("t")).alias("h"), R.numbers(F.col("t")).alias("n")).collect()
     assert [(x["h"], x["n"]) for x in got] == [(False, "1202645"), (True, "100"), (True, "2026;2031"), (False, "15;3,5;2.000")]
     assert isinstance(lex.PLAN_WORDS, list)
+
+
+def test_hot_token_is_split(spark):
+    r = random.Random(9)
+    sets = {f"s{i:03}": {"hot", *(f"w{r.randrange(9)}" for _ in range(4))} for i in range(90)}
+    rows = [(k, sorted(v)) for k, v in sets.items()] + [("none", []), ("null", None)]
+    df = spark.createDataFrame(rows, "k string, t array<string>")
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    for hot in (7, 5000):
+        got = [(x["k_a"], x["k_b"]) for x in copies.similar_sets(df, "k", "t", 0.6, hot=hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    classes = {x["k"]: (x["class_key"], x["members_n"]) for x in copies.set_classes(df, "k", "t").collect()}
+    assert classes == {k: (min(o for o in sets if sets[o] == v), sum(w == v for w in sets.values())) for k, v in sets.items()}
