@@ -71,7 +71,7 @@ HEADING = re.compile(r"^(?:\d+(?:\.\d+)+ \S.{2,60}|[A-ZÁÉÍÓÚÑ ]{4,60})$")
 SOFT = "\x02"  # a soft hyphen before a space: a former line end, or unseen
 BROKEN = re.compile(rf"(?<![^\W\d_])(?:([^\W\d_]++)[{HYPHEN}][ \t]*(?:\r?\n[ \t]*)+([^\W\d_]+)|([^\W\d_]++)([{HYPHEN}{SOFT}]) +([a-záéíóúüñ]+))")
 NOTE = re.compile(r"\s*\((?:ver|véase|cf\.?) ", re.I)
-WORDLIKE = re.compile(r"[^ \t\n\r]+")
+UNUSUAL = re.compile(r"[^ \t\n\r]*[^\x00-\x7fÀ-ÿ][^ \t\n\r]*")  # a word that may not be in its one form
 SPACES = re.compile("[\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 LATIN = re.compile("[A-Za-zÀ-ɏＡ-Ｚａ-ｚ]")
 CYRILLIC = re.compile("[\u0400-\u052f]")
@@ -148,11 +148,11 @@ def one_form_of_words(text: str) -> str:
 
     def formed(m: re.Match) -> str:
         w = m[0]
-        if w.isascii() or not (LATIN.search(w) or any(map(str.isdigit, w)) or (not foreign and CYRILLIC.search(w))):
+        if not (LATIN.search(w) or any(map(str.isdigit, w)) or (not foreign and CYRILLIC.search(w))):
             return w
         return one_form(w)
 
-    return WORDLIKE.sub(formed, SPACES.sub(" ", text))
+    return UNUSUAL.sub(formed, SPACES.sub(" ", text))
 
 
 def prepared(text: str) -> str:
@@ -247,10 +247,9 @@ def layout_of(lines: list[tuple[str, str, bool]]) -> list[tuple[int, ...]]:
         length = 0 if len(x) < 0.4 * usual else 1 if len(x) < 0.8 * usual else 2
         begins = 0 if x[0].islower() else 1 if x[0].isupper() else 2
         ends = 3 if x[-1] == ":" else 1 if x[-1] in ".!?…;" else 2 if x[-1] in ",-" else 0
-        letters = sum(c.isalpha() for c in x)
-        words = x.split()
-        capitals = 2 if letters > 3 and x.isupper() else 1 if len(words) > 1 and 2 * sum(w[0].isupper() for w in words) >= len(words) else 0
-        figures = sum(c.isdigit() for c in x)
+        words = x.split(" ")
+        capitals = 2 if x.isupper() and sum(map(str.isalpha, x)) > 3 else 1 if len(words) > 1 and 2 * sum(w[0].isupper() for w in words) >= len(words) else 0
+        figures = sum(map(x.count, "0123456789"))
         digits = 0 if not figures else 2 if 2 * figures >= len(x) - x.count(" ") else 1
         place = 0 if len(filled) == 1 else 1 if i == 0 else 2 if i == len(filled) - 1 else 3
         short = lambda y: y and len(y) < 0.4 * usual
