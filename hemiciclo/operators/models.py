@@ -164,8 +164,8 @@ class LabelModel:
         part = Window.partitionBy("truth", "part").orderBy(F.xxhash64(key), key)
         dealt = labelled.withColumn("part", F.pmod(F.xxhash64(key, F.lit(5)), F.lit(64))).withColumn("fold", F.pmod(F.row_number().over(part) + F.col("part"), F.lit(folds))).select(key, "fold")
         _, self.counter = bag(labelled, text, VOCABULARY, word_least)
-        words, _ = rows.withColumn("words", T.words(F.col(text))), None
-        data = self.counter.transform(words.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))).join(dealt, key, "left")
+        words = rows.withColumn("words", F.coalesce(T.words(F.col(text)), F.array().cast("array<string>")))
+        data = self.counter.transform(words).join(dealt, key, "left")
         self.ready = StringIndexer(inputCol="truth", outputCol="y", stringOrderType="alphabetAsc").fit(data.where("fold IS NOT NULL"))
         self.labels = self.ready.labels
         self.data = checkpointed(data.select(key, "truth", "fold", "counts"))
