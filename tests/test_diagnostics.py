@@ -52,6 +52,8 @@ def test_near_links(spark):
     got = copies.near_links(df, "id", "party", "tokens", "v").collect()
     assert {tuple(x)[:4] for x in got} == want and len(got) == len(want) > 20
     assert copies.near_links(df.limit(0), "id", "party", "tokens", "v").count() == 0
+    apart = copies.near_links(df.drop("v"), "id", "party", "tokens", "v", vectors=df.select("id", "v")).collect()
+    assert sorted(map(tuple, apart)) == sorted(map(tuple, got))
 
 
 def test_exact_links_and_the_choice_between_kinds(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hemiciclo.functions import rules as R
-from hemiciclo.operators import copies, groups, models, search, segment, vectors
+from hemiciclo.operators import copies, groups, models, overlap, search, segment, vectors
 
 
 def test_sections_and_statements(spark):
@@ -59,6 +59,32 @@ def test_similar_sets(spark, least):
     assert got == pytest.approx(want)
 
 
+def test_only_pairs_within_the_bounds_are_written():
+    """Few different words, so that most sets share rare tokens: millions of pairs meet, and few are written."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    base = [np.unique(r.integers(0, 300, r.integers(14, 60))) for _ in range(3000)]
+    sets = [*base, *(np.append(t[1:], 301 + i) for i, t in enumerate(base[:40]))]
+    hashed = r.integers(-(1 << 63), 1 << 63, 400)
+    counts = np.bincount(overlap.bucket(hashed[np.concatenate(sets)]), minlength=overlap.BUCKETS)
+    ids = np.arange(len(sets))
+    for least, hot in ((0.45, 20_000), (0.8, 500)):
+        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([hashed[t] for t in sets])], names=["id", "t"])
+        rows = pa.Table.from_batches(list(overlap.probes([batch], counts, least, hot))).sort_by([("g", "ascending"), ("size", "ascending")])
+        got = pa.Table.from_batches(list(overlap.met(rows.combine_chunks().to_batches(10_000), least)), schema=pa.schema([("x", pa.int64()), ("y", pa.int64())]))
+        found = set(zip(got["x"].to_pylist(), got["y"].to_pylist()))
+        m = np.zeros((len(sets), 400), dtype=np.float32)
+        for i, t in enumerate(sets):
+            m[i, t] = 1
+        common, n = m @ m.T, m.sum(1)
+        a, b = np.nonzero(np.triu(common / (n[:, None] + n - common) >= least - 1e-9, 1))
+        want = set(zip(a.tolist(), b.tolist()))
+        assert want <= found and len(want) >= 40
+        assert len(got) < 20_000, len(got)
+
+
 def test_exact_classes(spark):
     t = "x" * 90
     rows = [(1, "p", t), (2, "q", t), (3, "p", t), (4, "p", "y" * 90), (5, "p", "y" * 90), (6, "q", "corto"), (7, "p", "corto"), (8, "p", None)]
