@@ -42,7 +42,8 @@ STOPS = sorted({*lex.STOPWORDS, *lex.PLAN_WORDS})
     SELECT a.k AS statement_a, b.k AS statement_b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM f a JOIN f b ON a.k < b.k AND len(a.t) >= 0.8 * len(b.t) AND len(b.t) >= 0.8 * len(a.t) WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.8""")
 def token_similarity(spark, d):
     """Pairs of classes of equal token sets (named by their smallest statement) with a Jaccard similarity of 0.8 or more."""
-    sets = table(spark, d, "propuestas").select("proposal_id", F.array_sort(T.token_set(F.col("proposal_text"), STOPS)).alias("t")).where(F.size("t") > 0).groupBy("t").agg(F.min("proposal_id").alias("statement"))
+    hashed = table(spark, d, "propuestas").select("proposal_id", F.array_sort(F.transform(T.token_set(F.col("proposal_text"), STOPS), lambda w: F.xxhash64(w))).alias("t")).where(F.size("t") > 0)
+    sets = hashed.groupBy(F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), "t").alias("h2")).agg(F.min("proposal_id").alias("statement"), F.any_value("t").alias("t"))
     return copies.similar_sets(sets, "statement", "t").select("statement_a", "statement_b", F.round("jaccard", 6).alias("jaccard"))
 
 

@@ -85,6 +85,12 @@ def test_only_pairs_within_the_bounds_are_written():
         assert len(got) < 20_000, len(got)
 
 
+def test_a_set_without_a_key_has_no_pair(spark):
+    rows = [("a", ["x", "y", "z"]), (None, ["x", "y", "z"]), ("b", ["x", "y", "z", "z"])]
+    got = copies.similar_sets(spark.createDataFrame(rows, "k string, t array<string>"), "k", "t").collect()
+    assert [tuple(x) for x in got] == [("a", "b", 1.0)]
+
+
 def test_exact_classes(spark):
     t = "x" * 90
     rows = [(1, "p", t), (2, "q", t), (3, "p", t), (4, "p", "y" * 90), (5, "p", "y" * 90), (6, "q", "corto"), (7, "p", "corto"), (8, "p", None)]
