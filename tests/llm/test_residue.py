@@ -89,6 +89,19 @@ def test_sample_has_each_text_once(spark):
     assert len(drawn) == len(set(drawn)) == 100 and drawn == R.distinct_sample(df, "text", 100)
 
 
+def test_models_are_fitted_on_all_texts(spark):
+    """Equal to the fit in one place; more texts than the former sample of 4,000, one of them of over 20,000 characters."""
+    import numpy as np
+
+    texts = [f"{prose(1)} Nota de {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}." for i in range(4500)] + [prose(400) + " único"]
+    df = spark.createDataFrame([(t,) for t in [*texts, texts[0], None, ""]], "text string")
+    got, want = R.fitted_on_all(df, "text"), R.fitted(sorted(texts))
+    for a, b in ((got.prose, want.prose), (got.natural, want.natural)):
+        # which of the passages of one form stands for it may differ, and with it only the digits
+        assert abs(a.total - b.total) <= 0.001 * b.total
+        assert all(np.abs(x - y).sum() <= 0.01 * y.sum() for x, y in zip(a.counts[:3], b.counts[:3]))
+
+
 def test_no_example_is_a_line_of_a_table():
     """But the reason phrases of HTTP, which are a public list."""
     import re
