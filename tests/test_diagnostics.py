@@ -56,6 +56,30 @@ def test_near_links(spark):
     assert sorted(map(tuple, apart)) == sorted(map(tuple, got))
 
 
+def test_near_links_move_few_bytes(spark, tmp_path):
+    """Most sets meet no other: their vectors stay where they are, and sets travel as words."""
+    r = random.Random(8)
+    vocabulary = [f"palabra{i}larga" for i in range(3000)]
+    sets = [(f"k{i:05}", "pq"[i % 2], r.sample(vocabulary, 20)) for i in range(4000)]
+    sets += [(f"z{k[1:]}", "r", t) for k, _, t in sets[:30]]
+    spark.createDataFrame(sets, "id string, party string, tokens array<string>").write.parquet(f"{tmp_path}/sets")
+    spark.createDataFrame([(k, [float(r.gauss(0, 1)) for _ in range(48)] if k[0] == "k" and int(k[1:]) >= 30 else [1.0 + int(k[1:])] + [0.5] * 47) for k, *_ in sets], "id string, v array<double>").write.parquet(f"{tmp_path}/vectors")
+
+    def written():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        each = spark._jsc.sc().statusStore().executorList(False)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+    before = written()
+    links = copies.near_links(spark.read.parquet(f"{tmp_path}/sets"), "id", "party", "tokens", "v", vectors=spark.read.parquet(f"{tmp_path}/vectors"))
+    assert {(x["key_a"], x["key_b"]) for x in links.collect()} == {(k, f"z{k[1:]}") for k, *_ in sets[:30]}
+    moved = written() - before
+    assert moved < 2_800_000, moved
+    keys = spark.createDataFrame([("k00007",), ("k00009",), (None,)], "id string")
+    some = {x["id"] for x in copies.among(spark.read.parquet(f"{tmp_path}/vectors"), "id", keys).collect()}
+    assert {"k00007", "k00009"} <= some and len(some) < 10
+
+
 def test_exact_links_and_the_choice_between_kinds(spark):
     t = "x" * 90
     rows = [("b", "q", t), ("a", "p", t), ("c", "p", t), ("d", "r", t), ("e", "p", "y" * 90), ("f", None, t), ("g", "q", "corto"), ("h", "p", "corto"), ("i", "p", None)]
