@@ -45,13 +45,15 @@ BREAK = 6  # characters between texts
 CUES = {w for ask in examples.ASKS for w in re.findall(r"[^\W_]+", ask.replace("%s", ""))} - {"de", "a", "in", "with", "your", "su", "seu", "nombre", "por"}
 VOIDS = {w for mark in examples.MARKS for w in re.findall(r"[^\W\d_]{2,}", mark.lower())} - {"object", "ref", "value", "name", "div", "no", "firma", "function", "native", "code"}
 TOKEN = re.compile(r"[^\W\d_]+|\d+|\s+|_{4,}|([^\w\s])\1{2,}|.", re.DOTALL)
-SIGNS = re.compile(r"[\[\]{}<>#@«»_~|$^]|\.\.\. ?\(|…\(|/\*|\*\w|--")
-PERCENT = re.compile(r"(?<![\d ])%|%[\w(]")
+SIGNS = re.compile(r"[\[\]{}<>#@«»_~|$^]")
+OPENED, STARRED = re.compile(r"\.\.\. ?\("), re.compile(r"/\*|\*\w")
+PERCENT = re.compile(r"%(?:(?<![\d ]%)|(?=[\w(]))")
 ASKED = re.compile(r"[(:] ?(?:" + "|".join(sorted(CUES)) + r")\b", re.I)
+VOID_PART = re.compile("|".join(sorted(VOIDS)))
 VOID = re.compile(r"\b(?:" + "|".join(sorted(VOIDS)) + r")\b")
 ROMAN = re.compile(r"[IVXLCDM]{1,3}")
 PLAIN = np.array([ord(c) for c in "aA0 .,;:"], dtype=np.uint64)
-PASSAGE = re.compile(r"(?<=[.!?…])(?=\s)|(?<=\n)")
+PASSAGE = re.compile(r"[.!?…\n](?:(?<=\n)|(?=\s))")
 VARIES = re.compile(r"[\d_/@]|\.\w")  # in numbers, codes, addresses and file names
 
 
@@ -65,20 +67,24 @@ def characters(texts: list[str]) -> np.ndarray:
 
 def grams(codes: np.ndarray) -> list[np.ndarray]:
     """For each order the place in its table of the n-gram that ends at each character."""
-    out, h = [], codes * np.uint64(0x9E3779B97F4A7C15)
-    base = h
+    out, base = [], codes * np.uint64(0x9E3779B97F4A7C15)
+    h, stirred = base.copy(), base ^ (base >> np.uint64(29))
     for n in range(1, ORDER + 1):
         if n > 1:
-            before = np.zeros_like(base)
-            before[n - 1 :] = base[: 1 - n]
-            h = h + (before ^ (before >> np.uint64(29))) * np.uint64(2 * n + 1) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(((h ^ (h >> np.uint64(31))) >> np.uint64(8)).astype(np.int64) & ((1 << SIZES[n - 1]) - 1))
+            h[n - 1 :] += stirred[: 1 - n] * np.uint64((2 * n + 1) * 0xBF58476D1CE4E5B9 % (1 << 64))
+        at = h >> np.uint64(31)
+        at ^= h
+        at >>= np.uint64(8)
+        at &= np.uint64((1 << SIZES[n - 1]) - 1)
+        out.append(at.view(np.int64))
     return out
 
 
 class Model:
     """Counts of n-grams up to ORDER; a longer context is trusted as far as it was seen."""
 
+    logs: np.ndarray | None = None  # log_frequencies() of all 4-grams, made where they are used, not shipped
+
     def __init__(self, texts: list[str], once: bool = True):
         self.counts = [np.zeros(1 << bits, dtype=np.float32) for bits in SIZES]
         for start in range(0, len(texts), 2000):
@@ -108,9 +114,11 @@ class Model:
             p = (self.counts[n][places[n]] + np.float32(STRENGTH) * p) / (np.maximum(context, self.counts[n][places[n]]) + np.float32(STRENGTH))
         return np.log(p)
 
-    def log_frequencies(self, places: list[np.ndarray]) -> np.ndarray:
+    def log_frequencies(self, fourth: np.ndarray) -> np.ndarray:
         """Of the 4-gram that ends at each character, whatever stands before: a few strays change it little."""
-        return np.log((self.counts[3][places[3]] + np.float32(0.5)) / np.float32(self.total + 1))
+        if self.logs is None:
+            self.logs = np.log((self.counts[3] + np.float32(0.5)) / np.float32(self.total + 1))
+        return self.logs[fourth]
 
 
 def ratio(places: list[np.ndarray], residue: Model, base: np.ndarray, gaps: np.ndarray, clip: float = CLIP) -> np.ndarray:
@@ -162,10 +170,12 @@ def windows(llr: np.ndarray, starts: np.ndarray, threshold: float) -> list[tuple
 
 def probed(text: str) -> bool:
     """Whether a text may hold a placeholder at all."""
-    if SIGNS.search(text) or ("%" in text and PERCENT.search(text)) or (("(" in text or ":" in text) and ASKED.search(text)):
+    if SIGNS.search(text) or "--" in text or "…(" in text or ("%" in text and PERCENT.search(text)) or (("(" in text or ":" in text) and ASKED.search(text)):
+        return True
+    if ("..." in text and OPENED.search(text)) or ("*" in text and STARRED.search(text)):
         return True
     low = text.lower()
-    return any(v in low for v in VOIDS) and VOID.search(low) is not None
+    return VOID_PART.search(low) is not None and VOID.search(low) is not None
 
 
 def shaped(passage: str) -> tuple[str, list[int]]:
@@ -202,15 +212,19 @@ class Judge:
             self.side_by_side = [np.stack([m.counts[n] for m in models], axis=1) for n in range(ORDER)]
         seen = self.side_by_side[0][places[0]]
         p = (seen + np.float32(0.05)) / (np.array([m.total for m in models], dtype=np.float32) + np.float32(0.05 * 5000))
+        context = np.zeros_like(p)
         for n in range(1, ORDER):
-            here = self.side_by_side[n][places[n]]
-            context = np.zeros_like(p)
-            context[1:] = seen[:-1]
-            p = (here + np.float32(STRENGTH) * p) / (np.maximum(context, here) + np.float32(STRENGTH))
+            here = self.side_by_side[n].take(places[n], axis=0)
+            np.maximum(seen[:-1], here[1:], out=context[1:])
+            context[0] = here[0]
+            context += np.float32(STRENGTH)
+            p *= np.float32(STRENGTH)
+            p += here
+            p /= context
             if n == 3:
                 strange = here == 0
             seen = here
-        logs = np.log(p)
+        logs = np.log(p, out=p)
         out = []
         for k in range(len(self.kinds)):
             llr = np.clip(logs[:, k] - logs[:, -1], -CLIP, CLIP).astype(np.float64)
@@ -223,6 +237,10 @@ class Judge:
     def shape_windows(self, passages: list[str], threshold: float) -> list[list[tuple[int, int, float]]]:
         """For each passage its windows of unfilled placeholders, in characters of the passage."""
         shapes = [shaped(p) for p in passages]
+        return [[(at[begin], at[end] if end < len(at) else len(p), total) for begin, end, total in found] for (_, at), p, found in zip(shapes, passages, self.windows_of(shapes, threshold))]
+
+    def windows_of(self, shapes: list[tuple[str, list[int]]], threshold: float) -> list[list[tuple[int, int, float]]]:
+        """For each shape its windows, in token kinds."""
         codes = cased([s for s, _ in shapes])
         places, gaps = grams(codes), codes == 0
         llr = ratio(places, self.slots, self.natural.log_probabilities(places), gaps, SLOT_CLIP)
@@ -230,12 +248,9 @@ class Judge:
         alone = plain & np.concatenate([[True], plain[:-1]]) & np.concatenate([[True] * 2, plain[:-2]])[: len(plain)]
         llr[alone] = np.minimum(llr[alone], 0)
         first, out = BREAK, []
-        for (s, at), p in zip(shapes, passages):
+        for s, _ in shapes:
             part = llr[first : first + len(s)]
-            found = []
-            for begin, end, total, _, _ in windows(part, np.array([0]), threshold):
-                found.append((at[begin], at[end] if end < len(at) else len(p), total))
-            out.append(found)
+            out.append([(begin, end, total) for begin, end, total, _, _ in windows(part, np.array([0]), threshold)])
             first += len(s) + BREAK
         return out
 
@@ -284,9 +299,8 @@ def passages(text: str) -> Iterator[tuple[int, str]]:
     """The lines and sentences of a text with their places."""
     start = 0
     for m in PASSAGE.finditer(text):
-        if m.start() > start:
-            yield start, text[start : m.start()]
-            start = m.start()
+        yield start, text[start : m.end()]
+        start = m.end()
     if start < len(text):
         yield start, text[start:]
 
@@ -295,7 +309,10 @@ def forms_of(text: str) -> dict[str, str]:
     """The different lines and sentences of a text by form."""
     own: dict[str, str] = {}
     for _, p in passages(text):
-        form = " ".join("0" if VARIES.search(w) else w for w in p.lower().split())
+        words = p.lower().split()
+        if VARIES.search(p):  # else none of its words does
+            words = [w if w.isalpha() or not VARIES.search(w) else "0" for w in words]
+        form = " ".join(words)
         if form:
             own.setdefault(form, p)
     return own
@@ -328,25 +345,28 @@ def written(without: frozenset[str] = frozenset()) -> tuple[Model, Model, Model,
     return filler, notices, ShapeModel([shaped(x)[0] for x in examples.placeholders(7, without)]), ShapeModel([shaped(x)[0] for x in examples.naturals(8)])
 
 
+def doubts(codes: np.ndarray, fourth: np.ndarray, sizes: np.ndarray, repeated: np.ndarray, mixed: Model, kinds: tuple[Model, ...]) -> np.ndarray:
+    """Of passages of those sizes, whose characters and 4-grams these are: doubted()."""
+    base = mixed.log_frequencies(fourth)
+    first = np.cumsum(sizes + BREAK) - sizes
+    doubt = np.zeros(len(sizes), dtype=bool)
+    for kind in kinds:
+        gain = kind.log_frequencies(fourth) - base
+        gain[codes == 0] = 0
+        total = np.concatenate([[0], np.cumsum(gain)])
+        # what many texts repeat is a heading, a formula or a template: less speaks for prose
+        doubt |= (total[first + sizes] - total[first]) > np.where(repeated, REPEATED_GAIN * sizes, 0.4 * sizes + 4)
+    return doubt
+
+
 def doubted(different: list[str], often: np.ndarray, mixed: Model, without: frozenset[str] = frozenset()) -> np.ndarray:
     """Which passages the joint frequencies of their 4-grams give to residue; those that many texts repeat must be clear of it."""
-    doubts = []
+    out = []
     for start in range(0, len(different), 20_000):
         part, repeated = different[start : start + 20_000], often[start : start + 20_000]
         codes = characters(part)
-        places = grams(codes)
-        base = mixed.log_frequencies(places)
-        sizes = np.array([len(p.lower()) for p in part])
-        first = np.cumsum(sizes + BREAK) - sizes
-        doubt = np.zeros(len(part), dtype=bool)
-        for kind in written(without)[:2]:
-            gain = kind.log_frequencies(places) - base
-            gain[codes == 0] = 0
-            total = np.concatenate([[0], np.cumsum(gain)])
-            # what many texts repeat is a heading, a formula or a template: less speaks for prose
-            doubt |= (total[first + sizes] - total[first]) > np.where(repeated, REPEATED_GAIN * sizes, 0.4 * sizes + 4)
-        doubts.append(doubt)
-    return np.concatenate(doubts) if doubts else np.zeros(0, dtype=bool)
+        out.append(doubts(codes, grams(codes)[3], np.array([len(p.lower()) for p in part]), repeated, mixed, written(without)[:2]))
+    return np.concatenate(out) if out else np.zeros(0, dtype=bool)
 
 
 def fitted(sample: list[str], without: frozenset[str] = frozenset()) -> Judge:
@@ -360,14 +380,14 @@ def fitted(sample: list[str], without: frozenset[str] = frozenset()) -> Judge:
     prose = [p for p, d in zip(different, doubted(different, holders > REPEATS, mixed, without)) if not d]
     judge = Judge([filler, notices], Model(prose, once=False), slots, natural)
     # shapes of the corpus's own, without what the written examples give to placeholders
-    judge.natural = ShapeModel([shaped(x)[0] for x in [*examples.naturals(8), *clean_of_slots(prose, judge)]])
+    judge.natural = ShapeModel([*(shaped(x)[0] for x in examples.naturals(8)), *clean_of_slots(prose, judge)])
     return judge
 
 
 def clean_of_slots(prose: list[str], judge: Judge) -> list[str]:
-    """The passages that may hold a placeholder and that the written examples don't give to one."""
-    asked = [p for p in prose if probed(p)]
-    return [p for p, found in zip(asked, judge.shape_windows(asked, SLOT * THRESHOLD / 2)) if not found] if asked else []
+    """The shapes of the passages that may hold a placeholder and that the written examples don't give to one."""
+    asked = [shaped(p) for p in prose if probed(p)]
+    return [shape for (shape, _), found in zip(asked, judge.windows_of(asked, SLOT * THRESHOLD / 2)) if not found] if asked else []
 
 
 def chunked(kind: int, tables: list[np.ndarray]) -> Iterator[tuple[int, int, int, bytes]]:
@@ -410,10 +430,24 @@ def model_of(tables: list[np.ndarray], kind: type[Model] = Model) -> Model:
 
 
 def add_counts(tables: list[np.ndarray], codes: np.ndarray) -> None:
-    for table, at in zip(tables, grams(codes)):
+    add_places(tables, grams(codes))
+
+
+def add_places(tables: list[np.ndarray], places: list[np.ndarray]) -> None:
+    for table, at in zip(tables, places):
         table += np.bincount(at, minlength=len(table))
 
 
+def count_prose(own: list[str], often: np.ndarray, judge: Judge, kinds: tuple[Model, ...], prose: list[np.ndarray], shapes: list[np.ndarray]) -> None:
+    """Adds the n-grams of the passages that aren't doubted to prose, and those of their shapes to shapes; each passage is read once."""
+    codes, sizes = characters(own), np.array([len(p.lower()) for p in own])
+    places = grams(codes)
+    clear = ~doubts(codes, places[3], sizes, often, judge.prose, kinds)
+    add_places(prose, places if clear.all() else [at[np.repeat(clear, sizes + BREAK)] for at in places])
+    if clean := clean_of_slots([p for p, c in zip(own, clear) if c], judge):
+        add_counts(shapes, cased(clean))
+
+
 def fitted_on_all(df: DataFrame, text: str) -> Judge:
     """fitted() on all different texts of df, counted in its tasks.
 
@@ -445,17 +479,14 @@ def fitted_on_all(df: DataFrame, text: str) -> Judge:
         mixed = counted_in_tasks(rows, joint)
         if not mixed:
             return fitted([])
-        shared = df.sparkSession.sparkContext.broadcast(model_of(mixed[0]))
+        shared = df.sparkSession.sparkContext.broadcast((model_of(mixed[0]), *written()))  # written once, not by each worker
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
             prose, shapes = ([np.zeros(1 << bits, dtype=np.int64) for bits in SIZES] for _ in range(2))
-            judge = Judge([], shared.value, *written()[2:])
+            joint_model, filler, notices, *of_shapes = shared.value
+            judge = Judge([], joint_model, *of_shapes)  # compares with the joint frequencies
             for own, often in batches_of(batches):
-                left = [p for p, d in zip(own, doubted(own, often, shared.value)) if not d]
-                if left:
-                    add_counts(prose, characters(left))
-                if clean := clean_of_slots(left, judge):
-                    add_counts(shapes, cased([shaped(x)[0] for x in clean]))
+                count_prose(own, often, judge, (filler, notices), prose, shapes)
             yield from chunked(1, prose)
             yield from chunked(2, shapes)
 

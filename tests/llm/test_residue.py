@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hemiciclo.llm import residue as R
@@ -119,3 +121,34 @@ def test_no_example_is_a_line_of_a_table():
     made = {bare(x) for pack in (X.NOTICES, X.FILLER) for x in X.lines(pack, 40, 3)}
     public = {f"000 {phrase}" for phrase in X.REASONS.values()}
     assert not (made & held) - public, (made & held) - public
+
+
+def test_each_passage_is_turned_into_ngrams_once(monkeypatch):
+    own = [f"Se construirá el hospital número {i} en la provincia de Tarma, con personal propio." for i in range(60)] + ["You need to enable JavaScript to run this app. Please enable JavaScript in your browser.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor."]
+    often, mixed = np.zeros(len(own), dtype=bool), R.Model(own[:60])
+    left = [p for p, d in zip(own, R.doubted(own, often, mixed)) if not d]
+    assert own[:60] == left
+    filler, notices, slots, natural = R.written()
+    prose, shapes, want = ([np.zeros(1 << bits, dtype=np.int64) for bits in R.SIZES] for _ in range(3))
+    R.add_counts(want, R.characters(left))
+    read, grams = [], R.grams
+    monkeypatch.setattr(R, "grams", lambda codes: read.append(len(codes)) or grams(codes))
+    R.count_prose(own, often, R.Judge([], mixed, slots, natural), (filler, notices), prose, shapes)
+    assert read == [len(R.characters(own))]
+    assert all((a == b).all() for a, b in zip(prose, want)) and not shapes[0].any()
+
+
+def test_fast_forms_say_the_same():
+    """Passages, forms and the look for placeholders against the plain expressions."""
+    passage, signs, percent = re.compile(r"(?<=[.!?…])(?=\s)|(?<=\n)"), re.compile(r"[\[\]{}<>#@«»_~|$^]|\.\.\. ?\(|…\(|/\*|\*\w|--"), re.compile(r"(?<![\d ])%|%[\w(]")
+    dice, letters = random.Random(3), [*"ab1 .!?…\n%(*-/:_\r ", "lorem", "...", "--", "todo ", "nan", "İ"]
+    for _ in range(20_000):
+        t = "".join(dice.choice(letters) for _ in range(dice.randrange(14)))
+        parts = [p for p in passage.split(t) if p]
+        assert [p for _, p in R.passages(t)] == parts
+        forms = {}
+        for p in parts:
+            if form := " ".join("0" if R.VARIES.search(w) else w for w in p.lower().split()):
+                forms.setdefault(form, p)
+        assert R.forms_of(t) == forms
+        assert R.probed(t) == bool(signs.search(t) or percent.search(t) or R.ASKED.search(t) or R.VOID.search(t.lower()))
