@@ -133,3 +133,24 @@ def test_hot_token_is_split(spark):
         assert len(got) == len(set(got)) and set(got) == want
     classes = {x["k"]: (x["class_key"], x["members_n"]) for x in copies.set_classes(df, "k", "t").collect()}
     assert classes == {k: (min(o for o in sets if sets[o] == v), sum(w == v for w in sets.values())) for k, v in sets.items()}
+
+
+def test_texts_of_statements_without_a_pair_are_not_kept(spark, tmp_path):
+    """Neither forms nor words of statements that meet no other are written to the cluster's folder."""
+    from pathlib import Path
+
+    from hemiciclo.plans import diagnostics
+    from hemiciclo.session import checkpointed
+
+    r = random.Random(11)
+    vocabulary = [f"palabra{''.join(r.choices('bcdfglmnprst', k=9))}" for _ in range(3000)]
+    texts = [(f"k{i:05}", "pq"[i % 2], " ".join(r.sample(vocabulary, 40))) for i in range(4000)]
+    texts += [(f"z{k[1:]}", "r", f"{t} {'nuevo' if i % 2 else ''}") for i, (k, _, t) in enumerate(texts[:30])]
+    spark.createDataFrame(texts, "proposal_id string, party string, proposal_text string").write.parquet(f"{tmp_path}/propuestas.parquet")
+    spark.createDataFrame([(k, [1.0 + int(k[1:]), 0.5]) for k, *_ in texts], "proposal_id string, embedding array<double>").write.parquet(f"{tmp_path}/proposal_vectors.parquet")
+    checkpointed(spark.range(1))
+    kept = lambda: sum(p.stat().st_size for p in Path(spark._jsc.sc().getCheckpointDir().get().removeprefix("file:")).rglob("*") if p.is_file())
+    before = kept()
+    got = {(x["key_a"], x["key_b"]): x["kind"] for x in diagnostics.duplicate_pairs(spark, str(tmp_path)).collect()}
+    assert got == {(k, f"z{k[1:]}"): "near_duplicate" if i % 2 else "exact_duplicate" for i, (k, *_) in enumerate(texts[:30])}
+    assert kept() - before < 1_000_000, kept() - before
