@@ -154,3 +154,21 @@ def test_texts_of_statements_without_a_pair_are_not_kept(spark, tmp_path):
     got = {(x["key_a"], x["key_b"]): x["kind"] for x in diagnostics.duplicate_pairs(spark, str(tmp_path)).collect()}
     assert got == {(k, f"z{k[1:]}"): "near_duplicate" if i % 2 else "exact_duplicate" for i, (k, *_) in enumerate(texts[:30])}
     assert kept() - before < 1_000_000, kept() - before
+
+
+def test_keys_of_texts_of_one_party_stay_where_they_are(spark, tmp_path):
+    r = random.Random(12)
+    rows = [(f"{r.getrandbits(256):064x}", "pq"[i % 2], f"{i:05} {'x' * 90}") for i in range(4000)]
+    rows += [(f"z{k}", "r", t) for k, _, t in rows[:20]] + [(f"z{k}", p, t) for k, p, t in rows[20:40]]
+    spark.createDataFrame(rows, "id string, party string, form string").write.parquet(f"{tmp_path}/forms")
+
+    def written():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        each = spark._jsc.sc().statusStore().executorList(False)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+    before = written()
+    links = copies.exact_links(spark.read.parquet(f"{tmp_path}/forms"), "id", "party", "form").collect()
+    assert {(x["key_a"], x["key_b"]) for x in links} == {(k, f"z{k}") for k, *_ in rows[:20]} and len(links) == 20
+    moved = written() - before
+    assert moved < 300_000, moved
